@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -182,19 +181,22 @@ def class_histogram(
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson r of every ordered pair; each pair uses the rows where both values are present."""
-    pairs = list(combinations(range(len(cols)), 2))
-    wide = df.agg(
-        *[F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"r_{i}_{j}") for i, j in pairs],
-        *[F.when(F.count(c) > 0, 1.0).alias(f"r_{i}_{i}") for i, c in enumerate(cols)],
-    )
-    cells = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            r = F.col(f"r_{min(i, j)}_{max(i, j)}")
-            cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(i).alias("i"),
-                                  F.lit(j).alias("j"), r.alias("r")))
-    return wide.select(F.inline(F.array(*cells)))
+    """Pearson r of every ordered pair; each pair uses the rows where both values are present.
+
+    Each row yields its pairs of values and the pairs are aggregated map-side: one generated loop
+    over one small aggregate, where one aggregate per pair would be too large to compile well.
+    """
+    x = [F.col(c).cast("double") for c in cols]
+    cells = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
+    pairs = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), x[i].alias("x"), x[j].alias("y")) for i, j in cells
+    ]))).groupBy("i", "j").agg(F.corr("x", "y").alias("r"), F.count("x").alias("n"))
+    half = pairs.withColumn("r", F.when(F.col("i") != F.col("j"), F.col("r")).when(F.col("n") > 0, 1.0))
+    mirrored = half.select(F.explode(F.array(
+        F.struct("i", "j", "r"), F.when(F.col("i") != F.col("j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "r"))
+    )).alias("p")).where("p is not null").select("p.*")
+    names = F.array(*[F.lit(c) for c in cols])
+    return mirrored.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "i", "j", "r")
 
 
 def corr_lower_triangle(corr: DataFrame) -> DataFrame:

@@ -295,7 +295,7 @@ def union(parts) -> str:
 
 def corr_cells(keep) -> str:
     return union(
-        f"SELECT '{a}' AS a, '{b}' AS b, " + (r(f"corr({a}, {b})", 8) if a != b else f"{r('1e0', 8)}") + " AS r FROM borrowers"
+        f"SELECT '{a}' AS a, '{b}' AS b, " + (r(f"corr({a}, {b})", 8) if a != b else f"max({r('1e0', 8)})") + " AS r FROM borrowers"
         for i, a in enumerate(NUMERIC) for j, b in enumerate(NUMERIC) if keep(i, j)
     )
 

@@ -67,6 +67,12 @@ def borrowers(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot = (spark.sparkContext.applicationId, sf_dir)
     if slot not in _written:
         path = scratch_path(spark, "borrowers")
-        derive_borrowers(*[table(spark, sf_dir, t) for t in ("orders", "customer", "lineitem")]).write.parquet(path)
+        orders, customer, lineitem = (table(spark, sf_dir, t) for t in ("orders", "customer", "lineitem"))
+        derived = derive_borrowers(orders, customer, lineitem)
+        cores = spark.sparkContext.defaultParallelism
+        if orders.rdd.getNumPartitions() < cores:
+            # A table in one row group is read, and would be written, by one task.
+            derived = derived.repartition(cores, "id")
+        derived.write.parquet(path)
         _written[slot] = path
     return spark.read.schema(BORROWER_SCHEMA).parquet(_written[slot])
