@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 MAX_BUCKETS = 4_096
 MAX_CLASSES = 1_000
-PREFIX_DIGITS = (3, 6)
+HASH_DIGITS, PREFIX_STEP = 32, 3
+ORDER_ROWS = 200_000
 
 
 def _bucket_splits(df: DataFrame, key: str, buckets: int | None) -> list[float]:
@@ -74,43 +75,50 @@ def class_sizes(df: DataFrame, label: str) -> dict[int, int]:
 
 
 def hash_cuts(
-    df: DataFrame, label: str, ranks: Mapping[int, Sequence[int]], id_col: str, seed: int
+    df: DataFrame, label: str, ranks: Mapping[int, Sequence[int]], id_col: str, seed: int,
+    sizes: Mapping[int, int] | None = None, order_rows: int = ORDER_ROWS,
 ) -> dict[tuple[int, int], tuple[str, int]]:
     """`(class, rank) -> (hash, id)` of the row at that 1-based rank by (hash, id) in its class.
 
-    Each step narrows every wanted rank to one longer hash prefix from a histogram of bounded
-    size; ranks below 1 have no row and are left out.
+    While more than `order_rows` rows share a wanted rank's hash prefix, a histogram over three
+    more digits (4,096 groups per rank) finds the longer prefix; only the remaining rows are
+    ordered. Ranks below 1 have no row and are left out.
     """
-    spark = df.sparkSession
+    sizes = class_sizes(df, label) if sizes is None else sizes
     keyed = df.select(F.col(label).alias("c"), F.col(id_col).alias("i"), hash_key(id_col, seed).alias("h"))
-    state = {(c, r): ("", r) for c, rs in ranks.items() for r in set(rs) if r >= 1}
+    # (class, rank) -> prefix, rank within the prefix, rows with the prefix
+    state = {(c, r): ("", r, sizes[c]) for c, rs in ranks.items() for r in set(rs) if r >= 1}
     if not state:
         return {}
-    schema = f"c {df.schema[label].dataType.simpleString()}, r bigint, p string, skip bigint"
 
     def in_reach() -> DataFrame:
-        # One row per wanted (class, rank): a handful.
-        wanted = spark.createDataFrame([(c, r, p, s) for (c, r), (p, s) in state.items()], schema)
-        return keyed.join(F.broadcast(wanted), (keyed.c == wanted.c) & F.startswith("h", "p")).select(
-            keyed.c, "r", "skip", "h", "i"
+        hits = F.array(*[
+            F.when((F.col("c") == c) & F.startswith("h", F.lit(p)),
+                   F.struct(F.lit(r).cast("bigint").alias("r"), F.lit(skip).cast("bigint").alias("skip")))
+            for (c, r), (p, skip, _) in state.items()
+        ])
+        return keyed.select("c", "h", "i", F.explode(hits).alias("w")).where("w is not null").select(
+            "c", "h", "i", "w.r", "w.skip"
         )
 
-    def first_reaching(order: Sequence[str], rows: DataFrame) -> DataFrame:
+    def first_reaching(order: Sequence[str], counted: DataFrame) -> list:
         upto = F.sum("n").over(Window.partitionBy("c", "r").orderBy(*order))
+        left = F.col("skip") - F.col("upto") + F.col("n")
         return (
-            rows.withColumn("upto", upto).where("upto >= skip").groupBy("c", "r")
-            .agg(F.min_by(F.struct(*order, (F.col("skip") - F.col("upto") + F.col("n")).alias("skip")),
-                          F.struct(*order)).alias("hit"))
-            .select("c", "r", "hit.*")
+            counted.withColumn("upto", upto).where("upto >= skip").groupBy("c", "r")
+            .agg(F.min_by(F.struct(*order, left.alias("left"), "n"), F.struct(*order)).alias("hit"))
+            .select("c", "r", "hit.*").collect()
         )
 
-    for digits in PREFIX_DIGITS:
+    digits = 0
+    while digits < HASH_DIGITS and max(n for _, _, n in state.values()) > order_rows:
+        digits = min(digits + PREFIX_STEP, HASH_DIGITS)
         counted = in_reach().groupBy("c", "r", "skip", F.substring("h", 1, digits).alias("p")).agg(
             F.count("*").alias("n")
         )
-        state = {(x["c"], x["r"]): (x["p"], x["skip"]) for x in first_reaching(["p"], counted).collect()}
+        state = {(x["c"], x["r"]): (x["p"], x["left"], x["n"]) for x in first_reaching(["p"], counted)}
     counted = in_reach().groupBy("c", "r", "skip", "h", "i").agg(F.count("*").alias("n"))
-    return {(x["c"], x["r"]): (x["h"], x["i"]) for x in first_reaching(["h", "i"], counted).collect()}
+    return {(x["c"], x["r"]): (x["h"], x["i"]) for x in first_reaching(["h", "i"], counted)}
 
 
 def at_or_before(cut: tuple[str, int] | None, id_col: str, seed: int) -> Column:

@@ -27,7 +27,7 @@ def stratified_split(
     """
     sizes = class_sizes(df, label)
     ranks = {c: (int(test * n), int((test + val) * n)) for c, n in sizes.items()}
-    cuts = hash_cuts(df, label, ranks, id_col, seed)
+    cuts = hash_cuts(df, label, ranks, id_col, seed, sizes)
 
     def within(which: int):
         hit = F.lit(False)
@@ -45,7 +45,7 @@ def random_undersample(
     sizes = class_sizes(df, label)
     minority = min(sizes, key=lambda c: (sizes[c], -c))
     wanted = {c: (min(n, int(sizes[minority] / ratio)),) for c, n in sizes.items() if c != minority}
-    cuts = hash_cuts(df, label, wanted, id_col, seed)
+    cuts = hash_cuts(df, label, wanted, id_col, seed, sizes)
     keep = F.col(label) == minority
     for c, (rank,) in wanted.items():
         keep = keep | ((F.col(label) == c) & at_or_before(cuts.get((c, rank)), id_col, seed))

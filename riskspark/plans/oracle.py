@@ -300,6 +300,42 @@ def corr_cells(keep) -> str:
     )
 
 
+# Rebalancing on the training rows: neighbours by rounded squared distance, then id.
+STEPS["train"] = "SELECT * FROM scaled WHERE split = 'train'"
+STEPS["few"] = "SELECT * FROM train WHERE target = 1"
+GAP = "round_even((" + " + ".join(f"(a.z_{c} - b.z_{c}) * (a.z_{c} - b.z_{c})" for c in FEATURE_COLS) + ") * 1e9, 0)"
+STEPS["few_near"] = f"""
+  SELECT id, list(other ORDER BY gap, other) AS others FROM (
+    SELECT id, other, gap, row_number() OVER (PARTITION BY id ORDER BY gap, other) AS place FROM (
+      SELECT a.id, b.id AS other, {GAP} AS gap FROM few a JOIN few b ON a.id <> b.id))
+  WHERE place <= 5 GROUP BY id"""
+STEPS["sizes"] = """SELECT count(*) FILTER (target = 1) AS n_few, count(*) FILTER (target = 0) - count(*) FILTER (target = 1) AS n_new,
+         n_new // n_few AS each_row, n_new % n_few AS extra FROM train"""
+STEPS["seeds"] = """
+  SELECT *, md5('42|' || id || '|' || copy) AS h FROM (
+    SELECT id, each_row, unnest(range(1, each_row + CASE WHEN rk <= extra THEN 2 ELSE 1 END)) AS copy
+    FROM (SELECT id, row_number() OVER (ORDER BY md5('42|' || id), id) AS rk FROM few), sizes)"""
+STEPS["drawn"] = """
+  SELECT s.id, s.copy, s.each_row, n.others[1 + CAST('0x' || substr(h, 1, 8) AS BIGINT) % len(n.others)] AS other,
+         CAST('0x' || substr(h, 9, 8) AS BIGINT) / 4294967296e0 AS u
+  FROM seeds s JOIN few_near n ON s.id = n.id"""
+STEPS["grown"] = (
+    "SELECT id, target, " + ", ".join(f"CAST({p}{c} AS DOUBLE) AS {p}{c}" for p in ("", "z_") for c in FEATURE_COLS)
+    + " FROM train UNION ALL SELECT -(d.id * (each_row + 2) + copy) - 1, 1, "
+    + ", ".join(f"a.{p}{c} + u * (b.{p}{c} - a.{p}{c})" for p in ("", "z_") for c in FEATURE_COLS)
+    + " FROM drawn d JOIN few a ON d.id = a.id JOIN few b ON d.other = b.id"
+)
+
+
+def links_of(source: str) -> str:
+    return f"""
+  links AS (WITH best AS (
+      SELECT a.id, any_value(a.target) AS target, min_by(b.id, {{'g': {GAP}, 'i': b.id}}) AS other
+      FROM {source} a JOIN {source} b ON a.id <> b.id GROUP BY a.id)
+    SELECT p.id FROM best p JOIN best q ON p.other = q.id AND q.other = p.id AND p.target <> q.target)"""
+
+
+GROWN_ROW = ", ".join(f"{r(c)} AS {c}" for c in FEATURE_COLS)
 BORROWER_COLS = ["id", *NUMERIC]
 ENGINEERED = ["id", *FEATURE_COLS, "target"]
 IDR = f"(monthly_income * {USD_TO_IDR}e0)"
@@ -390,6 +426,7 @@ SELECTS: dict[str, str] = {
     "prevalence": f"SELECT {r('avg(target)', 9)} AS prevalence FROM borrowers",
     "random_undersample": """SELECT id, target FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5('42|' || id), id) AS rk
         FROM splits WHERE split = 'train') WHERE target = 1 OR rk <= 2 * (SELECT sum(target) FROM splits WHERE split = 'train')""",
+    "smote": f"SELECT id, target, {GROWN_ROW} FROM grown",
     "robust_scale_fit": union(f"SELECT '{c}' AS feature, {r(f'c_{c}')} AS center, {r(f's_{c}')} AS scale FROM params" for c in FEATURE_COLS),
     "save_scaler": union(f"SELECT '{c}' AS feature, {r(f'c_{c}')} AS center, {r(f's_{c}')} AS scale FROM params" for c in FEATURE_COLS),
     "robust_scale_apply": "SELECT id, " + ", ".join(f"{r(f'z_{c}')} AS {c}" for c in FEATURE_COLS) + ", target, split FROM scaled",
@@ -470,7 +507,18 @@ WITH_STEPS = {
     "box_stats_utilization": ("borrowers", box_of("revolving_utilization")),
     "stratified_split": ("borrowers", f"all_split AS ({split_of('borrowers')}) SELECT id, target, split FROM all_split"),
 }
-SHARED = {"borrowers", "featured", "splits", "scaled", "contrib", "models", "aged_split"}
+WITH_STEPS |= {
+    "tomek_links": ("train", f"{links_of('train')} SELECT id, target FROM train WHERE id NOT IN (SELECT id FROM links)"),
+    "smote_tomek": ("grown", f"{links_of('grown')} SELECT id, target, {GROWN_ROW} FROM grown WHERE id NOT IN (SELECT id FROM links)"),
+    "class_counts_by_strategy": ("train grown FROM grown", f"""{links_of('grown')},
+      every AS (SELECT 'original' AS strategy, target FROM train UNION ALL SELECT 'smote', target FROM grown
+                UNION ALL SELECT 'smote_tomek', target FROM grown WHERE id NOT IN (SELECT id FROM links)
+                UNION ALL SELECT 'undersample', target FROM (SELECT target, row_number() OVER (PARTITION BY target ORDER BY md5('42|' || id), id) AS rk FROM train)
+                          WHERE target = 1 OR rk <= 2 * (SELECT sum(target) FROM train))
+      SELECT strategy, target AS class, count(*) AS n, {r("sum(CASE WHEN target = 0 THEN count(*) END) OVER (PARTITION BY strategy) / sum(CASE WHEN target = 1 THEN count(*) END) OVER (PARTITION BY strategy)")} AS ratio
+      FROM every GROUP BY strategy, target"""),
+}
+SHARED = {"train", "few", "grown", "borrowers", "featured", "splits", "scaled", "contrib", "models", "aged_split"}
 
 
 def _needed(sql: str, found: dict[str, None]) -> None:

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.functions import display, features as feat
-from riskspark.operators import clean, explain, metrics, policy, profile, report, scale, split
+from riskspark.operators import (
+    clean, explain, metrics, models, policy, profile, rebalance, report, scale, split, trees,
+)
 from riskspark.plans import pipeline, scorecard
 from riskspark.schema import BORROWER_SCHEMA, DERIVED_FEATURES, FEATURE_COLS, ID, LABEL, RAW_FEATURES, RAW_TO_NAME
 from riskspark.session import scratch_path
@@ -577,3 +579,32 @@ def q_stream(spark, sf):
     )
     running.awaitTermination()
     return tidy(spark.read.parquet(out))
+
+
+# --- rebalancing ---------------------------------------------------------------------------
+
+
+def train_split(spark, sf) -> DataFrame:
+    return pipeline.prepared(spark, sf, "train")
+
+
+@query("smote")
+def q_smote(spark, sf):
+    made = rebalance.smote(train_split(spark, sf), FEATURE_COLS, pipeline.SCALED_COLS)
+    return tidy(made.select(ID, LABEL, *FEATURE_COLS))
+
+
+@query("tomek_links")
+def q_tomek(spark, sf):
+    return rebalance.tomek_links(train_split(spark, sf), pipeline.SCALED_COLS).select(ID, LABEL)
+
+
+@query("smote_tomek")
+def q_smote_tomek(spark, sf):
+    made = rebalance.smote_tomek(train_split(spark, sf), FEATURE_COLS, pipeline.SCALED_COLS)
+    return tidy(made.select(ID, LABEL, *FEATURE_COLS))
+
+
+@query("class_counts_by_strategy")
+def q_strategies(spark, sf):
+    return tidy(rebalance.class_counts_by_strategy(rebalance.rebalanced(train_split(spark, sf), pipeline.SCALED_COLS)))
