@@ -608,3 +608,113 @@ def q_smote_tomek(spark, sf):
 @query("class_counts_by_strategy")
 def q_strategies(spark, sf):
     return tidy(rebalance.class_counts_by_strategy(rebalance.rebalanced(train_split(spark, sf), pipeline.SCALED_COLS)))
+
+
+# --- models --------------------------------------------------------------------------------
+
+# Rounds and trials of the registered runs; the library's defaults are the full 300, 500 and 50.
+RUN_ROUNDS, RUN_TRIALS = 30, 3
+RUN_SPACE = {**models.SEARCH_SPACE, "rounds": (10, RUN_ROUNDS, False)}
+_fitted: dict[tuple[str, str, str], str] = {}
+
+
+def fitted(spark, sf, name: str):
+    """A model trained on the training split, fitted and saved once per application."""
+    def slot(n: str) -> tuple[str, str, str]:
+        return spark.sparkContext.applicationId, sf, n
+
+    if slot(name) not in _fitted:
+        train, val = (pipeline.prepared(spark, sf, s) for s in ("train", "val"))
+        cols = pipeline.SCALED_COLS
+        if name == "logreg":
+            made = {name: models.train_logreg(train, cols)}
+        elif name == "gbt_balanced":
+            made = {name: models.train_gbt_balanced(train, val, cols, RUN_ROUNDS).model}
+        else:
+            boosted = models.train_gbt(train, val, cols, models.BoostParams(rounds=RUN_ROUNDS))
+            made = {"gbt": boosted.model, "gbt_full": boosted.full}
+        for n, model in made.items():
+            _fitted[slot(n)] = scratch_path(spark, f"model-{n}")
+            io.save_model(model, _fitted[slot(n)])
+    return io.load_model(_fitted[slot(name)])
+
+
+def held_out(spark, sf) -> DataFrame:
+    return pipeline.prepared(spark, sf).where("split in ('val', 'test')")
+
+
+def model_scores(spark, sf, name: str) -> DataFrame:
+    scored = models.score_model(fitted(spark, sf, name), held_out(spark, sf))
+    return scored.select(ID, LABEL, "split", "margin", "prob")
+
+
+@query("balanced_weights")
+def q_balanced_weights(spark, sf):
+    return tidy(models.balanced_weights(train_split(spark, sf).select(ID, LABEL)))
+
+
+@query("scale_pos_weight")
+def q_pos_weight(spark, sf):
+    return models.scale_pos_weight(train_split(spark, sf).select(ID, LABEL), 3.0)
+
+
+@query("train_logreg")
+def q_logreg(spark, sf):
+    return model_scores(spark, sf, "logreg")
+
+
+@query("train_gbt")
+def q_gbt(spark, sf):
+    return model_scores(spark, sf, "gbt")
+
+
+@query("train_gbt_balanced")
+def q_gbt_balanced(spark, sf):
+    return model_scores(spark, sf, "gbt_balanced")
+
+
+@query("save_model")
+def q_save_model(spark, sf):
+    """Scores of a saved and reloaded model next to the scores before saving."""
+    model = models.train_logreg(train_split(spark, sf), pipeline.SCALED_COLS)
+    path = scratch_path(spark, "saved-model")
+    io.save_model(model, path)
+    before = models.score_model(model, held_out(spark, sf)).select(ID, F.col("prob").alias("before"))
+    after = models.score_model(io.load_model(path), held_out(spark, sf)).select(ID, F.col("prob").alias("after"))
+    return before.join(after, ID)
+
+
+@query("model_comparison_fitted")
+def q_fitted_comparison(spark, sf):
+    scored = None
+    for name in ("logreg", "gbt", "gbt_balanced"):
+        part = model_scores(spark, sf, name).withColumn("model", F.lit(name))
+        scored = part if scored is None else scored.unionByName(part)
+    return metrics.model_comparison(scored, score="margin")
+
+
+@query("hyperparam_search")
+def q_search(spark, sf):
+    table, _ = models.hyperparam_search(
+        train_split(spark, sf), pipeline.prepared(spark, sf, "val"), pipeline.SCALED_COLS, RUN_TRIALS, RUN_SPACE
+    )
+    return table
+
+
+@query("learning_curve")
+def q_learning_curve(spark, sf):
+    rows = pipeline.prepared(spark, sf).where("split in ('train', 'val')")
+    return models.learning_curve(fitted(spark, sf, "gbt_full"), rows, pipeline.SCALED_COLS)
+
+
+@query("explain_trees")
+def q_explain_trees(spark, sf):
+    found = trees.load_trees(fitted(spark, sf, "gbt"), spark)
+    test = pipeline.prepared(spark, sf, "test")
+    return explain.to_long(trees.explain_trees(test, found, pipeline.SCALED_COLS, shown=FEATURE_COLS))
+
+
+@query("expected_value")
+def q_expected_value(spark, sf):
+    found = trees.load_trees(fitted(spark, sf, "gbt"), spark)
+    return trees.expected_value(pipeline.prepared(spark, sf, "test"), found)
