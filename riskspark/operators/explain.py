@@ -76,16 +76,23 @@ def importance_rank(
     return ranked if n is None else ranked.where(F.col("rank") <= n)
 
 
-def _points_of_top(df: DataFrame, n: int, features: Sequence[str], keys: Sequence[str], col: str) -> DataFrame:
-    top = importance_rank(df, n, features, col).select("feature")
-    return to_long(df, keys, col).join(F.broadcast(top), "feature", "left_semi")
+def _strongest_features(df: DataFrame, n: int, features: Sequence[str], col: str) -> list[str]:
+    """Names of the n features with the largest mean contribution: at most the model's width."""
+    return [r["feature"] for r in importance_rank(df, n, features, col).orderBy("rank").collect()]
+
+
+def _only(names: Sequence[str], features: Sequence[str], col: str) -> Column:
+    at = list(features)
+    return F.array(*[F.get(F.col(col), F.lit(at.index(f))) for f in names])
 
 
 def beeswarm_data(
     df: DataFrame, n: int = TOP_POINTS, features: Sequence[str] = FEATURE_COLS, keys: Sequence[str] = (ID,),
     col: str = "contributions",
 ) -> DataFrame:
-    return _points_of_top(df, n, features, keys, col).select(*keys, "feature", "value", "contribution")
+    """(feature, value, contribution) of every row for the n strongest features."""
+    names = _strongest_features(df, n, features, col)
+    return df.select(*keys, F.inline(_only(names, features, col)))
 
 
 def dependence_data(
@@ -93,14 +100,14 @@ def dependence_data(
     features: Sequence[str] = FEATURE_COLS, keys: Sequence[str] = (ID,), col: str = "contributions",
 ) -> DataFrame:
     """(value, contribution) of the strongest features, with the value between its outer quantiles."""
-    points = _points_of_top(df, n, features, keys, col)
-    found = quantiles(points.withColumnRenamed("feature", "shown"), ["value"], [lo, hi], by=["shown"])
-    ends = found.groupBy(F.col("shown").alias("feature")).agg(
-        F.min("value").alias("low"), F.max("value").alias("high")
-    )
-    return points.join(F.broadcast(ends), "feature").where(F.col("value").between(F.col("low"), F.col("high"))).select(
-        *keys, "feature", "value", "contribution"
-    )
+    names = _strongest_features(df, n, features, col)
+    at = list(features)
+    values = df.select(*[F.get(F.col(col), F.lit(at.index(f)))["value"].alias(f) for f in names])
+    ends = {(r["feature"], r["p"]): r["value"] for r in quantiles(values, names, [lo, hi]).collect()}
+    inside = F.lit(False)
+    for f in names:
+        inside = inside | ((F.col("feature") == f) & F.col("value").between(ends[f, lo], ends[f, hi]))
+    return df.select(*keys, F.inline(_only(names, features, col))).where(inside)
 
 
 def pick_cases(df: DataFrame, t: float, id_col: str = ID) -> DataFrame:

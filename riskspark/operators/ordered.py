@@ -45,6 +45,7 @@ def ordered_prefix(
     )
     grouped = df.groupBy(*by, key).agg(*[F.sum(s).alias(s) for s in sums])
     grouped = bucketizer.transform(grouped.withColumn("_key", F.col(key).cast("double"))).drop("_key")
+    grouped = grouped.withColumn("_bucket", F.col("_bucket").cast("int"))
 
     before = Window.partitionBy(*by, "_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

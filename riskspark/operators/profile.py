@@ -55,28 +55,41 @@ def duplicate_count(df: DataFrame, exclude: Sequence[str] = (ID,)) -> DataFrame:
 def column_profile(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     """Per column: type, missing, distinct, min, max, mean, median.
 
-    With `approx` the distinct counts and medians are sketches, so nothing but sketches is
-    shuffled; the default is exact.
+    Exact: the rows become (column, value) pairs counted map-side, so equal values are shuffled
+    once, and everything but the median is read off those counts. With `approx`, distinct counts
+    and medians are sketches and only sketches are shuffled.
     """
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    fields = {
-        "missing": lambda c: F.count_if(c.isNull()),
-        "missing_pct": lambda c: round_half_even(F.avg(c.isNull().cast("int")) * 100, 2),
-        "unique": distinct,
-        "min": lambda c: F.min(c).cast("double"),
-        "max": lambda c: F.max(c).cast("double"),
-        "mean": lambda c: round_half_even(F.avg(c), 2),
-    }
-    medians = (approx_quantiles if approx else quantiles)(df, cols, [0.5])
+    fields = ["missing", "missing_pct", "unique", "min", "max", "mean"]
+    if approx:
+        medians = approx_quantiles(df, cols, [0.5])
+        made = {
+            "missing": lambda c: F.count_if(c.isNull()),
+            "rows": lambda c: F.count(F.lit(1)),
+            "unique": F.approx_count_distinct,
+            "min": lambda c: F.min(c).cast("double"),
+            "max": lambda c: F.max(c).cast("double"),
+            "mean": lambda c: F.avg(c),
+        }
+        facts = _to_long(_aggregate(df, cols, made), cols, list(made))
+    else:
+        medians = quantiles(df, cols, [0.5])
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols])
+        counts = df.select(F.inline(pairs)).groupBy("column", "x").agg(F.count("*").alias("n"))
+        x, n = F.col("x"), F.col("n")
+        facts = counts.groupBy("column").agg(
+            F.coalesce(F.sum(F.when(x.isNull(), n)), F.lit(0)).alias("missing"), F.sum(n).alias("rows"),
+            F.count(x).alias("unique"), F.min(x).alias("min"), F.max(x).alias("max"),
+            (F.sum(x * n) / F.sum(F.when(x.isNotNull(), n))).alias("mean"),
+        )
     types = dict(df.dtypes)
-    dtype = F.create_map(*[F.lit(x) for c in cols for x in (c, types[c])])
-    return (
-        _to_long(_aggregate(df, cols, fields), cols, list(fields))
-        .join(medians.select(F.col("feature").alias("column"), round_half_even(F.col("value"), 2).alias("median")),
-              "column")
-        .withColumn("dtype", dtype[F.col("column")])
-        .select("column", "dtype", *fields, "median")
-    )
+    dtype = F.create_map(*[F.lit(v) for c in cols for v in (c, types[c])])
+    facts = facts.withColumns({
+        "missing_pct": round_half_even(F.col("missing") / F.col("rows") * 100, 2),
+        "mean": round_half_even(F.col("mean"), 2),
+        "dtype": dtype[F.col("column")],
+    })
+    middle = medians.select(F.col("feature").alias("column"), round_half_even(F.col("value"), 2).alias("median"))
+    return facts.join(middle, "column").select("column", "dtype", *fields, "median")
 
 
 def class_balance(df: DataFrame, label: str = LABEL) -> DataFrame:

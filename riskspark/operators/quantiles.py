@@ -2,11 +2,11 @@
 
 Two exact routes, chosen by a counted size:
 
-* up to `exact_rows` rows, the built-in `percentile` (its value map then has a known bound);
-* above it, narrowing: a mergeable sketch proposes an interval around each wanted rank, a
-  counting pass says on which side of the interval the rank lies, and this repeats until the
-  open interval holds few enough rows to be ordered. Rows are never shuffled; every pass is a
-  map-side aggregation, and the sketch only ever proposes, so the result stays exact.
+* up to `exact_values` values, the built-in `percentile` (its value map then has a known bound);
+* above it, narrowing: mergeable sketches propose values around each wanted rank, a counting pass
+  says between which of them the rank lies, and this repeats until the open interval holds few
+  enough rows to be ordered. Rows are never shuffled: both passes are map-side aggregations to a
+  few rows per column. A sketch only proposes, so the result is exact whatever its error.
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EXACT_ROWS = 4_000_000
+EXACT_VALUES = 8_000_000
+ORDER_ROWS = 200_000
 MAX_GROUPS = 1_000
+GRID = 512
 
 
 def quantiles(
@@ -28,20 +30,24 @@ def quantiles(
     cols: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    exact_rows: int = EXACT_ROWS,
-    accuracy: int = 10_000,
     rows: int | None = None,
+    exact_values: int = EXACT_VALUES,
+    order_rows: int = ORDER_ROWS,
 ) -> DataFrame:
     """Long frame `(by..., feature, p, value)`; nulls are skipped, an all-null column gives null.
 
     `rows` is the size of `df` where the caller already counted it.
     """
     df = df.select(*by, *cols)
-    if (df.count() if rows is None else rows) > exact_rows:
-        return _narrowed(df, cols, probs, by, exact_rows, accuracy)
-    wide = df.groupBy(*by).agg(*[F.percentile(c, list(probs)).alias(c) for c in cols])
+    if (df.count() if rows is None else rows) * len(cols) > exact_values:
+        return _narrowed(df, cols, probs, by, order_rows)
+    return _long(df.groupBy(*by).agg(*[F.percentile(c, list(probs)).alias(c) for c in cols]), cols, probs, by)
+
+
+def _long(wide: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
     points = [
-        F.struct(F.lit(c).alias("feature"), F.lit(float(p)).alias("p"), F.get(F.col(c), F.lit(i)).alias("value"))
+        F.struct(F.lit(c).alias("feature"), F.lit(float(p)).alias("p"),
+                 F.get(F.col(c), F.lit(i)).cast("double").alias("value"))
         for c in cols for i, p in enumerate(probs)
     ]
     return wide.select(*by, F.inline(F.array(*points)))
@@ -52,17 +58,12 @@ def approx_quantiles(
 ) -> DataFrame:
     """Same shape as `quantiles`, one sketch pass; returns elements, not interpolated values."""
     wide = df.groupBy(*by).agg(*[F.percentile_approx(c, list(probs), accuracy).alias(c) for c in cols])
-    points = [
-        F.struct(F.lit(c).alias("feature"), F.lit(float(p)).alias("p"),
-                 F.get(F.col(c), F.lit(i)).cast("double").alias("value"))
-        for c in cols for i, p in enumerate(probs)
-    ]
-    return wide.select(*by, F.inline(F.array(*points)))
+    return _long(wide, cols, probs, by)
 
 
 @dataclass
 class _Rank:
-    """One wanted order statistic and the open interval it is known to lie in."""
+    """One wanted order statistic of a (group, column) and the open interval known to hold it."""
 
     group: tuple
     col: str
@@ -73,23 +74,21 @@ class _Rank:
     high: float = math.inf
     value: float | None = None
 
+    @property
+    def interval(self) -> tuple:
+        return self.group, self.col, self.low, self.high
 
-def _narrowed(df, cols, probs, by, exact_rows, accuracy) -> DataFrame:
+
+def _narrowed(df, cols, probs, by, order_rows) -> DataFrame:
     sizes = df.groupBy(*by).agg(*[F.count(c).alias(c) for c in cols]).limit(MAX_GROUPS + 1).collect()
     if len(sizes) > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups: quantiles are meant for a few large groups")
     counts = {(tuple(r[b] for b in by), c): r[c] for r in sizes for c in cols}
     ranks = {
-        (g, c, k): _Rank(g, c, k, n)
-        for (g, c), n in counts.items() if n
-        for p in probs for k in _neighbours(n, p)
+        (g, c, k): _Rank(g, c, k, n) for (g, c), n in counts.items() if n for p in probs for k in _neighbours(n, p)
     }
-
-    while True:
-        wide = [r for r in ranks.values() if r.value is None and r.inside > exact_rows]
-        if not wide:
-            break
-        _propose_and_count(df, by, wide, accuracy)
+    while wide := [r for r in ranks.values() if r.value is None and r.inside > order_rows]:
+        _locate(df, by, wide, _propose(df, by, wide))
     _order_inside(df, by, [r for r in ranks.values() if r.value is None])
 
     rows = []
@@ -114,69 +113,75 @@ def _neighbours(n: int, p: float) -> tuple[int, int]:
     return math.floor(pos), min(math.ceil(pos), n - 1)
 
 
-def _in_group(by, rank: _Rank):
+def _in_group(by: Sequence[str], group: tuple) -> Column:
     cond = F.lit(True)
-    for b, v in zip(by, rank.group):
+    for b, v in zip(by, group):
         cond = cond & F.col(b).eqNullSafe(F.lit(v))
     return cond
 
 
-def _inside(rank: _Rank):
-    x = F.col(rank.col).cast("double")
-    return (x > rank.low) & (x < rank.high)
-
-
-def _propose_and_count(df, by, ranks: list[_Rank], accuracy: int) -> None:
-    """One sketch pass and one counting pass over all unresolved ranks."""
-    sketches = []
-    for i, r in enumerate(ranks):
-        margin = 2.0 * r.inside / accuracy + 1
-        share = [min(max((r.rank - r.below + d) / r.inside, 0.0), 1.0) for d in (-margin, margin)]
-        kept = F.when(_in_group(by, r) & _inside(r), F.col(r.col).cast("double"))
-        sketches.append(F.percentile_approx(kept, share, accuracy).alias(f"s{i}"))
-    bounds = df.agg(*sketches).first()
-
-    counters = []
-    for i, r in enumerate(ranks):
-        a, b = bounds[i]
-        x, mine = F.col(r.col).cast("double"), _in_group(by, r)
-        for name, cond in (("l", x < a), ("a", x == a), ("i", (x > a) & (x < b)), ("b", (x == b) & F.lit(b > a))):
-            counters.append(F.count_if(mine & cond).alias(f"{name}{i}"))
-    found = df.agg(*counters).first()
-    for i, r in enumerate(ranks):
-        a, b = bounds[i]
-        n_low, n_a, n_in, n_b = (found[f"{k}{i}"] for k in ("l", "a", "i", "b"))
-        if r.rank < n_low:
-            r.high, r.inside = a, n_low - r.below
-        elif r.rank < n_low + n_a:
-            r.value = a
-        elif r.rank < n_low + n_a + n_in:
-            r.low, r.high, r.below, r.inside = a, b, n_low + n_a, n_in
-        elif r.rank < n_low + n_a + n_in + n_b:
-            r.value = b
+def _matching(df: DataFrame, by, intervals: Sequence[tuple], extra: Sequence[dict] | None = None) -> DataFrame:
+    """Rows `(i, x, extra...)` for every value x inside interval i."""
+    hits = []
+    for i, (group, col, low, high) in enumerate(intervals):
+        x = F.col(col).cast("double")
+        more = [F.lit(v).alias(k) for k, v in (extra[i] if extra else {}).items()]
+        hits.append(F.when(_in_group(by, group) & (x > low) & (x < high), F.struct(F.lit(i).alias("i"), x.alias("x"), *more)))
+    return df.select(F.explode(F.array(*hits)).alias("h")).where("h is not null").select("h.*")
+
+
+def _propose(df: DataFrame, by, ranks: Sequence[_Rank]) -> dict[tuple, list[float]]:
+    """Per (group, column) the values between which its unresolved ranks are to be located."""
+    intervals = list(dict.fromkeys(r.interval for r in ranks))
+    grid = [i / GRID for i in range(GRID + 1)]
+    found = _matching(df, by, intervals).groupBy("i").agg(F.percentile_approx("x", grid, 4 * GRID).alias("v")).collect()
+    sketch = {intervals[r["i"]]: r["v"] for r in found}
+    proposed: dict[tuple, set[float]] = {}
+    for r in ranks:
+        at = int((r.rank - r.below) / r.inside * GRID)
+        ends = {sketch[r.interval][min(max(at + d, 0), GRID)] for d in (-1, 2)}
+        known = {v for v in (r.low, r.high) if math.isfinite(v)}
+        proposed.setdefault((r.group, r.col), set()).update(ends | known)
+    return {series: sorted(values) for series, values in proposed.items()}
+
+
+def _locate(df: DataFrame, by, ranks: Sequence[_Rank], proposed: dict[tuple, list[float]]) -> None:
+    """Count rows at and between the proposed values and move every rank to its place.
+
+    Place 2i is the open interval after the i-th value, place 2i - 1 the i-th value itself.
+    """
+    series = list(proposed)
+    hits = []
+    for i, (group, col) in enumerate(series):
+        x = F.col(col).cast("double")
+        place = F.lit(0)
+        for v in proposed[group, col]:
+            place = place + (x >= v).cast("int") + (x > v).cast("int")
+        hits.append(F.when(_in_group(by, group) & x.isNotNull(), F.struct(F.lit(i).alias("i"), place.alias("place"))))
+    counted = df.select(F.explode(F.array(*hits)).alias("h")).where("h is not null").groupBy("h.i", "h.place").count()
+    tally: dict[tuple, dict[int, int]] = {}
+    for r in counted.collect():
+        tally.setdefault(series[r["i"]], {})[r["place"]] = r["count"]
+    for r in ranks:
+        values = [-math.inf, *proposed[r.group, r.col], math.inf]
+        seen = 0
+        for place, n in sorted(tally[r.group, r.col].items()):
+            if seen + n > r.rank:
+                break
+            seen += n
+        if place % 2:
+            r.value = values[(place + 1) // 2]
         else:
-            seen = n_low + n_a + n_in + n_b
-            r.low, r.inside, r.below = b, r.inside - (seen - r.below), seen
+            r.low, r.high, r.below, r.inside = values[place // 2], values[place // 2 + 1], seen, n
 
 
-def _order_inside(df, by, ranks: list[_Rank]) -> None:
+def _order_inside(df: DataFrame, by, ranks: Sequence[_Rank]) -> None:
     """Order the few rows left in each open interval and read the rank off."""
     if not ranks:
         return
-    hits = F.array(*[
-        F.when(_in_group(by, r) & _inside(r),
-               F.struct(F.lit(i).alias("i"), F.lit(r.rank - r.below).alias("skip"),
-                        F.col(r.col).cast("double").alias("x")))
-        for i, r in enumerate(ranks)
-    ])
-    counted = (
-        df.select(F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
-        .groupBy("h.i", "h.skip", "h.x").agg(F.count("*").alias("n"))
-    )
+    extra = [{"skip": r.rank - r.below} for r in ranks]
+    counted = _matching(df, by, [r.interval for r in ranks], extra).groupBy("i", "skip", "x").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("i").orderBy("x"))
-    found = (
-        counted.withColumn("upto", upto).where("upto > skip")
-        .groupBy("i").agg(F.min("x").alias("x")).collect()
-    )
+    found = counted.withColumn("upto", upto).where("upto > skip").groupBy("i").agg(F.min("x").alias("x")).collect()
     for row in found:
         ranks[row["i"]].value = row["x"]

@@ -57,7 +57,7 @@ def test_threshold_file_fallback(spark, tmp_path):
 def test_narrowed_quantiles_equal_numpy(spark, sf, by):
     df = borrowers(spark, sf)
     cols, probs = ["age", "monthly_income", "late_90d", "revolving_utilization"], [0.0, 0.25, 0.5, 0.99, 1.0]
-    got = quantiles.quantiles(df, cols, probs, by, exact_rows=100, accuracy=30).toPandas()
+    got = quantiles.quantiles(df, cols, probs, by, exact_values=0, order_rows=20).toPandas()
     pdf = df.toPandas()
     for _, r in got.iterrows():
         part = pdf if not by else pdf[pdf["target"] == r["target"]]
@@ -67,7 +67,7 @@ def test_narrowed_quantiles_equal_numpy(spark, sf, by):
 
 def test_narrowing_survives_a_hot_value(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id") / 100).alias("x"))
-    got = quantiles.quantiles(df, ["x"], [.1, .3, .5, .9], exact_rows=20, accuracy=10).toPandas()
+    got = quantiles.quantiles(df, ["x"], [.1, .3, .5, .9], exact_values=0, order_rows=1).toPandas()
     x = df.toPandas()["x"]
     assert np.allclose(got.sort_values("p")["value"], np.quantile(x, [.1, .3, .5, .9]))
 
