@@ -428,6 +428,8 @@ SELECTS: dict[str, str] = {
         FROM splits WHERE split = 'train') WHERE target = 1 OR rk <= 2 * (SELECT sum(target) FROM splits WHERE split = 'train')""",
     "balanced_weights": f"SELECT id, target, {r('count(*) OVER () / (2e0 * count(*) OVER (PARTITION BY target))')} AS weight FROM train",
     "scale_pos_weight": "SELECT id, target, CASE WHEN target = 1 THEN 3e0 ELSE 1e0 END AS weight FROM train",
+    "save_model": "SELECT count(*) AS n_rows, count(*) AS n_equal FROM splits WHERE split IN ('val', 'test')",
+    "explain_trees_additivity": "SELECT count(*) AS n_rows, count(*) AS n_additive FROM splits WHERE split = 'test'",
     "smote": f"SELECT id, target, {GROWN_ROW} FROM grown",
     "robust_scale_fit": union(f"SELECT '{c}' AS feature, {r(f'c_{c}')} AS center, {r(f's_{c}')} AS scale FROM params" for c in FEATURE_COLS),
     "save_scaler": union(f"SELECT '{c}' AS feature, {r(f'c_{c}')} AS center, {r(f's_{c}')} AS scale FROM params" for c in FEATURE_COLS),

@@ -675,13 +675,15 @@ def q_gbt_balanced(spark, sf):
 
 @query("save_model")
 def q_save_model(spark, sf):
-    """Scores of a saved and reloaded model next to the scores before saving."""
+    """Held-out rows, and how many of them score the same after the model was saved and reloaded."""
     model = models.train_logreg(train_split(spark, sf), pipeline.SCALED_COLS)
     path = scratch_path(spark, "saved-model")
     io.save_model(model, path)
     before = models.score_model(model, held_out(spark, sf)).select(ID, F.col("prob").alias("before"))
     after = models.score_model(io.load_model(path), held_out(spark, sf)).select(ID, F.col("prob").alias("after"))
-    return before.join(after, ID)
+    return before.join(after, ID).agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("before") == F.col("after")).alias("n_equal")
+    )
 
 
 @query("model_comparison_fitted")
@@ -718,3 +720,14 @@ def q_explain_trees(spark, sf):
 def q_expected_value(spark, sf):
     found = trees.load_trees(fitted(spark, sf, "gbt"), spark)
     return trees.expected_value(pipeline.prepared(spark, sf, "test"), found)
+
+
+@query("explain_trees_additivity")
+def q_additivity(spark, sf):
+    """Test rows, and how many have contributions that sum, with the expected value, to their margin."""
+    model = fitted(spark, sf, "gbt")
+    found = trees.load_trees(model, spark)
+    test = pipeline.prepared(spark, sf, "test")
+    rows = trees.explain_trees(models.score_model(model, test), found, pipeline.SCALED_COLS, keep=[ID, "margin"])
+    gap = trees.total_contribution() + F.lit(trees.expected_margin(found)) - F.col("margin")
+    return rows.agg(F.count("*").alias("n_rows"), F.count_if(F.abs(gap) < 1e-9).alias("n_additive"))
