@@ -16,9 +16,12 @@ CUT = 0.5
 GRID_LOW, GRID_HIGH, GRID_SIZE = 0.1, 0.9, 80
 
 
-def _class_prefix(df: DataFrame, label: str, score: str, by: Sequence[str], buckets: int | None) -> DataFrame:
+def _class_prefix(
+    df: DataFrame, label: str, score: str, by: Sequence[str], buckets: int | None, count: str | None = None
+) -> DataFrame:
+    n = F.lit(1) if count is None else F.col(count)
     flags = df.select(
-        *by, score, F.col(label).cast("bigint").alias("pos"), (1 - F.col(label)).cast("bigint").alias("neg")
+        *by, score, (F.col(label) * n).cast("bigint").alias("pos"), ((1 - F.col(label)) * n).cast("bigint").alias("neg")
     )
     return ordered_prefix(flags, score, ["pos", "neg"], by, buckets)
 
@@ -29,13 +32,17 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def roc_auc(
-    df: DataFrame, label: str = LABEL, score: str = "score", by: Sequence[str] = (), buckets: int | None = None
+    df: DataFrame, label: str = LABEL, score: str = "score", by: Sequence[str] = (), buckets: int | None = None,
+    count: str | None = None,
 ) -> DataFrame:
-    """Exact rank AUC, ties counting half; null where a class is absent."""
+    """Exact rank AUC, ties counting half; null where a class is absent.
+
+    `count` names the column with the number of rows a row stands for, if they are counted already.
+    """
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     pairs = F.col("pos_total").cast("double") * F.col("neg_total")
     return (
-        _class_prefix(df, label, score, by, buckets)
+        _class_prefix(df, label, score, by, buckets, count)
         .groupBy(*by)
         .agg(F.sum(pos * (F.col("neg_before") + neg / 2)).alias("won"), F.max(pairs).alias("pairs"))
         .select(*by, F.when(F.col("pairs") > 0, F.col("won") / F.col("pairs")).alias("auc"))

@@ -13,7 +13,7 @@ from riskspark.operators import (
 )
 from riskspark.plans import pipeline, scorecard
 from riskspark.schema import BORROWER_SCHEMA, DERIVED_FEATURES, FEATURE_COLS, ID, LABEL, RAW_FEATURES, RAW_TO_NAME
-from riskspark.session import scratch_path
+from riskspark.session import materialize, scratch_path
 from riskspark.sources import applications as io
 from riskspark.sources.borrowers import borrowers
 from riskspark.streaming.score_stream import read_application_stream, stream_score
@@ -692,7 +692,7 @@ def q_fitted_comparison(spark, sf):
     for name in ("logreg", "gbt", "gbt_balanced"):
         part = model_scores(spark, sf, name).withColumn("model", F.lit(name))
         scored = part if scored is None else scored.unionByName(part)
-    return metrics.model_comparison(scored, score="margin")
+    return metrics.model_comparison(materialize(scored, "model-scores"), score="margin")
 
 
 @query("hyperparam_search")
