@@ -232,7 +232,7 @@ CUT_MARGIN = f"abs(prob - {THRESHOLD}e0)"
 def money(x: str) -> str:
     return (f"CASE WHEN {x} >= 1e9 THEN printf('Rp %.1f M', {x} / 1e9) WHEN {x} >= 1e6 THEN printf('Rp %.1f jt', {x} / 1e6) "
             f"WHEN {x} >= 1e3 THEN printf('Rp %.0f rb', {x} / 1e3) "
-            f"WHEN {x} IS NOT NULL THEN 'Rp ' || printf('%.0f', {x}) END")
+            f"WHEN {x} IS NOT NULL THEN 'Rp ' || format('{{:,}}', CAST(round_even({x}, 0) AS BIGINT)) END")
 
 
 def shown(decimals: int) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.operators import explain, metrics, models, policy, profile, trees
+from riskspark.operators.clean import check_threshold
 from riskspark.operators.scale import robust_scale_apply, robust_scale_fit, scale_values
 from riskspark.plans.pipeline import (
     SCALED, SCALED_COLS, Artifacts, fit_medians, score_applications, split_features, train_rows,
@@ -102,7 +103,7 @@ def score_with_model(
     applications: DataFrame, artifacts: Artifacts, model: PipelineModel, threshold: float | None = None
 ) -> DataFrame:
     """Decisions of the stored model, with the stored threshold unless another is given."""
-    chosen = artifacts if threshold is None else replace(artifacts, threshold=threshold)
+    chosen = artifacts if threshold is None else replace(artifacts, threshold=check_threshold(threshold))
     scored = score_applications(applications, chosen, lambda df: models.score_model(model, df))
     return policy.decision_text(scored)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.schema import BORROWER_SCHEMA
@@ -30,7 +30,7 @@ def derive_borrowers(orders: DataFrame, customer: DataFrame, lineitem: DataFrame
         lines, c("o_orderkey") == c("l_orderkey"), "left"
     )
 
-    def filled(name: str, value) -> F.Column:
+    def filled(name: str, value) -> Column:
         return F.coalesce(c(name), F.lit(value))
 
     key, cust = c("o_orderkey"), c("o_custkey")
