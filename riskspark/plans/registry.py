@@ -13,7 +13,7 @@ from riskspark.operators import (
 )
 from riskspark.operators.quantiles import quantiles
 from riskspark.plans import pipeline, scorecard
-from riskspark.schema import BORROWER_SCHEMA, DERIVED_FEATURES, FEATURE_COLS, ID, LABEL, RAW_FEATURES, RAW_TO_NAME
+from riskspark.schema import DERIVED_FEATURES, FEATURE_COLS, ID, LABEL, RAW_FEATURES, RAW_TO_NAME
 from riskspark.session import materialize, scratch_path
 from riskspark.sources import applications as io
 from riskspark.sources.borrowers import borrowers
