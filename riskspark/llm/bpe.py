@@ -25,12 +25,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.texts import map_texts
+from riskspark.llm.texts import Kept, map_texts, runs_of
 
 WINDOW = 16
 CHUNK_BITS = 9
@@ -60,26 +59,6 @@ def pack_ids(ids: Sequence[int]) -> bytes:
     return out.tobytes()
 
 
-class Kept:
-    """A dict with two generations: when the younger is full, the older goes."""
-
-    def __init__(self, limit: int):
-        self.limit, self.size, self.new, self.old = limit, 0, {}, {}
-
-    def get(self, key):
-        got = self.new.get(key)
-        return self.old.get(key) if got is None else got
-
-    def put(self, key, value, size: int) -> None:
-        self.put_all({key: value}, size)
-
-    def put_all(self, items: dict, size: int) -> None:
-        self.new.update(items)
-        self.size += size
-        if self.size > self.limit // 2:
-            self.new, self.old, self.size = {}, self.new, 0
-
-
 def byte_letters() -> dict[int, str]:
     """Byte-level BPE writes a byte as a printable letter: its own, or the next one from 256 on."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -167,32 +146,28 @@ class Encoder:
         self.runs.put_all(short, size + 160 * len(short))
         return found
 
-    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def many(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's begin and end: the runs of a batch are looked up once."""
-        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-        coded = split.flatten().dictionary_encode()
-        runs = coded.dictionary.to_pylist()
+        runs, codes, edges = runs_of(texts)
         ids = self.run_ids(runs)
         flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        codes = coded.indices.to_numpy()
         of_run = sizes[codes]
         upto = np.concatenate(([0], np.cumsum(of_run)))
         starts = (np.cumsum(sizes) - sizes)[codes]
         at = np.repeat(starts - upto[:-1], of_run)
         at += np.arange(len(at))
-        edges = split.offsets.to_numpy()
-        return flat[at], upto[edges - edges[0]]
+        return flat[at], upto[edges]
 
     def text_ids(self, text: bytes) -> bytes:
         """Ids of one text, without chunks."""
-        return self.many(pa.array([text], pa.large_binary()))[0].tobytes()
+        return self.many([text])[0].tobytes()
 
     def learn(self, chunks: Sequence[bytes]) -> dict[bytes, tuple]:
         """What `joined` needs of each different chunk: (ids, first run, bytes of its ids, last run, bytes of
         its ids, number of runs). Known chunks are not encoded again."""
         known = {c: got for c in set(chunks) if (got := self.chunks.get(c)) is not None}
         todo = [c for c in dict.fromkeys(chunks) if c not in known]
-        ids, upto = self.many(pa.array(todo, pa.large_binary()))
+        ids, upto = self.many(todo)
         for c, x, y in zip(todo, upto.tolist(), upto[1:].tolist()):
             first, last = c.split(None, 1)[:1], c.rsplit(None, 1)[-1:]
             if not first:

@@ -38,7 +38,7 @@ def token_pieces(
         enc, last = encoder(vocab), np.array([separator], "<u4").tobytes()
 
         def compute(texts: list[bytes]) -> list[pa.Array]:
-            ids, upto = enc.many(pa.array(texts, pa.large_binary()))
+            ids, upto = enc.many(texts)
             raw, places = memoryview(ids.tobytes()), (4 * upto).tolist()
             whole = [bytes(raw[a:b]) + last for a, b in zip(places, places[1:])]
             step = 4 * capacity

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskspark.llm import bpe, packing
+from riskspark.llm import bpe, langid, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,5 +23,9 @@ def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.bpe_digests(documents(spark, sf), bpe.vocabulary())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_best_fit_packing, op6_bpe)}
+def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.language_predictions(documents(spark, sf))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_best_fit_packing, op6_bpe, op7_language_id)}
 ORACLE_SQL: dict[str, str] = {}

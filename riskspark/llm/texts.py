@@ -56,6 +56,50 @@ def map_texts(
     return work.mapInArrow(run, schema)
 
 
+def runs_of(texts: Sequence[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(different runs between ASCII white space, the run at each place of all texts end to end, where each text begins)."""
+    split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+    coded = split.flatten().dictionary_encode()
+    edges = split.offsets.to_numpy()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), edges - edges[0]
+
+
+class Kept:
+    """A dict with two generations: when the younger is full, the older goes. It bounds what a worker remembers."""
+
+    def __init__(self, limit: int):
+        self.limit, self.size, self.new, self.old = limit, 0, {}, {}
+
+    def get(self, key):
+        got = self.new.get(key)
+        return self.old.get(key) if got is None else got
+
+    def put(self, key, value, size: int) -> None:
+        self.put_all({key: value}, size)
+
+    def put_all(self, items: dict, size: int) -> None:
+        self.new.update(items)
+        self.size += size
+        if self.size > self.limit // 2:
+            self.new, self.old, self.size = {}, self.new, 0
+
+    def all(self, keys: Sequence, make: Callable[[list], list], size: int) -> list:
+        """The values of different keys; `make` gives those of the unknown ones, each counted as `size` bytes."""
+        found = list(map(self.new.get, keys))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            old = self.old.get
+            todo = []
+            for i in missing:
+                found[i] = old(keys[i])
+                if found[i] is None:
+                    todo.append(i)
+            for i, value in zip(todo, make([keys[i] for i in todo])):
+                found[i] = value
+            self.put_all({keys[i]: found[i] for i in missing if len(keys[i]) <= 256}, size * len(missing))
+        return found
+
+
 def fold(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n. A null id is in fold 0 of the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n))
