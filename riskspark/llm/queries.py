@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskspark.llm import bpe, langid, packing
+from riskspark.llm import bpe, langid, packing, quality, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf), bpe.vocabulary())
 
 
+def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
 def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.bpe_digests(documents(spark, sf), bpe.vocabulary())
 
@@ -27,5 +31,16 @@ def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.language_predictions(documents(spark, sf))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_best_fit_packing, op6_bpe, op7_language_id)}
+def op8_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.embedding_top_k(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity_scores(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op3_best_fit_packing, op5_quality, op6_bpe, op7_language_id, op8_exact_top_k, op9_toxicity)
+}
 ORACLE_SQL: dict[str, str] = {}
