@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; all other training texts, labelled or not, are unlabelled, a mixture
-with the class prior that the labels show. The risk is `prior * R+(positives) + max(0, R-(unlabelled) -
+Confirmed toxic texts are the positives; a sample of all training texts, whatever their labels, is unlabelled, a
+mixture with the class prior that the labels show. The risk is `prior * R+(positives) + max(0, R-(unlabelled) -
 prior * R-(positives))`: the second part is the negatives' risk, corrected for the positives among the
 unlabelled texts, and is pushed back up when it turns negative, i.e. when the model overfits. A sparse linear
 model over the words and word beginnings that a text holds (each once) is trained by numpy on a bounded sample;
@@ -21,10 +21,9 @@ from pyspark.sql import functions as F
 
 from riskspark.llm.texts import Kept, bounded_sample, fold, map_texts, runs_of
 
-BITS = 20
 POSITIVE_ROWS, UNLABELLED_ROWS = 1_500, 7_500
-EPOCHS, RATE, SHRINK, LEAST_TEXTS = 60, 0.1, 0.002, 5
-PREFIXES = (4, 5, 6)
+EPOCHS, RATE, RIDGE, LEAST_TEXTS, EVIDENCE = 200, 0.1, 2e-4, 3, 4.0
+PREFIXES = (3, 4, 5, 6, 7, 8)
 RUN_BYTES = 80 << 20
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -35,22 +34,22 @@ def features(run: str) -> tuple[int, ...]:
     out = []
     for w in (low,) if low.isalpha() else _WORDS.findall(low):
         raw = w.encode()
-        out.append(zlib.crc32(b"w" + raw) >> (32 - BITS))
-        out += [zlib.crc32(b"p" + w[:k].encode()) >> (32 - BITS) for k in PREFIXES if len(w) >= k]
+        out.append(zlib.crc32(b"w" + raw))
+        out += [zlib.crc32(b"p" + w[:k].encode()) for k in PREFIXES if len(w) >= k]
     return tuple(out)
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Weights of 2^20 hashed features, float32, and an intercept."""
+    """Weights of the features (32-bit hashes) that have one, and an intercept; the sample bounds their number."""
 
-    weights: np.ndarray
+    weights: dict[int, float]
     bias: float
 
     def run_marks(self, runs: list[str]) -> list[tuple[int, ...]]:
         """The features of each run that have a weight; most runs have none."""
         w = self.weights
-        return [tuple(f for f in features(run) if w[f]) for run in runs]
+        return [tuple(f for f in features(run) if f in w) for run in runs]
 
 
 def text_features(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
@@ -70,16 +69,21 @@ def text_features(docs: DataFrame, carry: list[str], text: str = "text") -> Data
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> ToxicityModel:
-    """Full-batch Adam on the non-negative risk with a soft threshold; features of fewer than LEAST_TEXTS texts are left out."""
-    size = 1 << BITS
-    flat = np.concatenate([*positive, *unlabelled]) if positive or unlabelled else np.zeros(0, np.int64)
-    known = np.flatnonzero(np.bincount(flat, minlength=size) >= LEAST_TEXTS)
-    place = np.full(size, -1)
-    place[known] = np.arange(len(known))
+    """Full-batch Adam on the non-negative risk, over the features that tell positives from unlabelled texts.
+
+    A feature takes part if at least LEAST_TEXTS positives hold it and their share is above that of the
+    unlabelled texts by EVIDENCE standard errors: among millions of features chance gives hardly any.
+    """
+    found, counts = np.unique(np.concatenate(positive), return_counts=True)
+    found, counts = found[counts >= LEAST_TEXTS], counts[counts >= LEAST_TEXTS]
+    others = np.concatenate([np.zeros(0, np.int64), *unlabelled])
+    others = np.bincount(np.searchsorted(found, others[np.isin(others, found)]), minlength=len(found))
+    n_p, n_u = len(positive), max(1, len(unlabelled))
+    share, base = counts / n_p, (others + 0.5) / (n_u + 1)
+    known = found[share - base > EVIDENCE * np.sqrt(base * (1 - np.minimum(base, 0.999)) * (1 / n_p + 1 / n_u))]
 
     def matrix(texts):
-        cols = [place[t] for t in texts]
-        cols = [c[c >= 0] for c in cols]
+        cols = [np.searchsorted(known, t[np.isin(t, known, assume_unique=True)]) for t in texts]
         return np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols) if cols else np.zeros(0, np.int64), max(1, len(cols))
 
     (rp, cp, n_p), (ru, cu, n_u) = matrix(positive), matrix(unlabelled)
@@ -95,40 +99,48 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
             gp = np.zeros(n_p)
         gp = gp - sign * prior * sp / n_p
         gu = gu + sign * su / n_u
-        g = np.append(np.bincount(cp, gp[rp], len(w)) + np.bincount(cu, gu[ru], len(w)), gp.sum() + gu.sum())
+        g = np.append(np.bincount(cp, gp[rp], len(w)) + np.bincount(cu, gu[ru], len(w)) + RIDGE * w, gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
         w, b = w - step[:-1], b - step[-1]
-        scale = RATE / (np.sqrt(v[:-1] / (1 - 0.99**t)) + 1e-6)
-        w = np.sign(w) * np.maximum(np.abs(w) - SHRINK * np.minimum(scale, 250.0), 0)
-    weights = np.zeros(size, np.float32)
-    weights[known] = w
-    return ToxicityModel(weights, float(b))
+    margins = np.bincount(rp, w[cp], n_p) + b, np.bincount(ru, w[cu], n_u) + b
+    b -= cut(*margins, prior)
+    some = np.flatnonzero(w)
+    return ToxicityModel(dict(zip(known[some].tolist(), w[some].tolist())), float(b))
+
+
+def cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The margin with the least corrected error, `prior * missed + max(0, taken - prior * found)`; the middle of a tie."""
+    at = np.unique(np.concatenate([positive, unlabelled]))
+    found = 1 - np.searchsorted(np.sort(positive), at) / len(positive)
+    taken = 1 - np.searchsorted(np.sort(unlabelled), at) / max(1, len(unlabelled))
+    risk = prior * (1 - found) + np.maximum(0, taken - prior * found)
+    best = int(np.flatnonzero(risk <= risk.min() + 1e-12)[0])
+    return float((at[best] + at[best - 1]) / 2) if best else float(at[0])
 
 
 def learn(
     docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic",
     positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS,
 ) -> ToxicityModel:
-    """Model from about `positive_rows` texts labelled 1 and `unlabelled_rows` others of `docs`.
+    """Model from about `positive_rows` texts labelled 1 and `unlabelled_rows` of all `docs`.
 
     The class prior is the share of 1 among the labels of `docs`. A text with several labels is toxic if one
     says so. Without any positive the score is the prior's floor for every text.
     """
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
     known = docs.select(key, text).join(marks, key, "left")
-    known = known.withColumn("_class", F.when(F.col("_label") == 1, "p").otherwise("u"))
     share = known.where("_label is not null").agg(F.avg("_label")).first()[0]
     prior = min(max(share or 0.0, 0.001), 0.999)
     # The ids of a bounded sample are joined back, so no text is shuffled.
-    ids = known.select(key, "_class")
-    chosen = bounded_sample(ids.where("_class = 'p'"), "_class", positive_rows, key, "toxic").unionByName(
-        bounded_sample(ids.where("_class = 'u'"), "_class", unlabelled_rows, key, "unlabelled")
-    ).dropDuplicates([key]).limit(2 * (positive_rows + unlabelled_rows))
+    ids = known.where("_label = 1").select(key, F.lit("p").alias("_class"))
+    chosen = bounded_sample(ids, "_class", positive_rows, key, "toxic").unionByName(
+        bounded_sample(known.select(key, F.lit("u").alias("_class")), "_class", unlabelled_rows, key, "unlabelled")
+    ).dropDuplicates().limit(2 * (positive_rows + unlabelled_rows))
     sample = text_features(docs.select(key, text).join(F.broadcast(chosen), key), ["_class"], text).toPandas()
     arrays = {c: [np.frombuffer(x, "<u4").astype(np.int64) for x in g] for c, g in sample.groupby("_class")["features"]}
     if not arrays.get("p"):
-        return ToxicityModel(np.zeros(1 << BITS, np.float32), float(np.log(prior / (1 - prior))))
+        return ToxicityModel({}, float(np.log(prior / (1 - prior))))
     return fit(arrays["p"], arrays.get("u", []), prior)
 
 
@@ -152,7 +164,8 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", carry=None)
             doc = np.repeat(pairs >> 32, some[pairs & 0xFFFFFFFF])
             mark = np.fromiter((f for c in (pairs & 0xFFFFFFFF).tolist() for f in marks[c]), np.int64, len(doc))
             pairs = np.unique(doc << 32 | mark)
-            margin = model.bias + np.bincount(pairs >> 32, model.weights[pairs & 0xFFFFFFFF], len(texts))
+            weight = np.fromiter(map(model.weights.__getitem__, (pairs & 0xFFFFFFFF).tolist()), float, len(pairs))
+            margin = model.bias + np.bincount(pairs >> 32, weight, len(texts))
             p = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
             return [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
 
