@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskspark.llm import bpe, langid, packing, quality, topk, toxicity
+from riskspark.llm import bpe, langid, neardup, packing, quality, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,8 +39,12 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity_scores(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.duplicate_groups(documents(spark, sf))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op3_best_fit_packing, op5_quality, op6_bpe, op7_language_id, op8_exact_top_k, op9_toxicity)
+    for f in (op3_best_fit_packing, op5_quality, op6_bpe, op7_language_id, op8_exact_top_k, op9_toxicity, op10_near_duplicates)
 }
 ORACLE_SQL: dict[str, str] = {}
