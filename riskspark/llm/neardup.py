@@ -9,10 +9,10 @@ symbols). At a similarity of 0.75 two sets miss all chunks with probability (1 -
 less above. Classes of a key are compared by the distance of whole signatures; a pair is dropped only beyond
 DISTANCE differing symbols, 4.3 standard deviations above the mean at 0.75.
 
-Links are confirmed on full sets, in two rounds, so that a large group of near copies costs no pair of all its
-members: first every class's nearest neighbour by signature (at most one pair a class); the confirmed links
-are contracted into components; then, in keys that still hold several components, the pairs between
-different components. Pairs inside a component can't change the result. Keys with many classes are cut into
+Links are confirmed on full sets, in rounds, so that a large group of near copies doesn't cost all its pairs:
+ROUNDS times, every class's nearest neighbour by signature in another component (at most one pair a class),
+the confirmed links contracted into components each time; then, in keys that still hold several components,
+all pairs between different components. Pairs inside a component can't change the result. Keys with many classes are cut into
 blocks of bounded size. Sets of the classes in question are read again from the documents, not carried along.
 """
 
@@ -31,8 +31,9 @@ from riskspark.llm.texts import map_texts, runs_of
 from riskspark.session import materialize
 
 SHINGLE, PERCENT = 5, 75
-SYMBOLS, CHUNKS, WIDTH, ERRORS = 128, 8, 4, 1
-DISTANCE = 53
+SYMBOLS, CHUNKS, WIDTH, ERRORS = 256, 8, 4, 1
+DISTANCE = 94
+ROUNDS = 3
 BLOCK = 2_048
 SLOTS = 1 << 19
 SET_BYTES = 5
@@ -164,13 +165,15 @@ def close_pairs(table: pa.Table, cols: list[str]) -> Iterator[tuple[np.ndarray,
 
 
 def nearest(members: DataFrame) -> DataFrame:
-    """(a, b) with a < b: for each class its nearest one over all its keys, by signature; at most one row a class."""
+    """(a, b) with a < b: for each class its nearest one of another component over all its keys; at most one row a class."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key", "block"]):
-            ids = table.column("set_id").to_numpy()
+            ids, parts = table.column("set_id").to_numpy(), table.column("part").to_numpy()
             best, other = np.full(len(ids), SYMBOLS + 1), np.zeros(len(ids), np.int64)
             for i, j, far in close_pairs(table, ["key", "block"]):
+                apart = parts[i] != parts[j]
+                i, j, far = i[apart], j[apart], far[apart]
                 for x, y in ((i, j), (j, i)):
                     nearer = (far < best[x]) | ((far == best[x]) & (ids[y] < other[x]))
                     best[x[nearer]], other[x[nearer]] = far[nearer], ids[y[nearer]]
@@ -296,6 +299,15 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
+def open_members(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Members with their component `part`, in keys that hold several components."""
+    if roots is None:
+        return members.withColumn("part", F.col("set_id"))
+    labelled = members.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("part", F.coalesce("root", "set_id")).drop("root")
+    keys = labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+    return labelled.join(keys, "key")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id, kept, set_id) of every row.
 
@@ -311,13 +323,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     each = classes.select("set_id", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(each.join(shared, "key"), "members")
-    links = confirmed(nearest(blocked(members, classes, pairs=False)), classes, docs, text, key)
-    parts = materialize(components(links), "parts")
-    labelled = members.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("part", F.coalesce("root", "set_id")).drop("root")
-    open_keys = labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    rest = blocked(labelled.join(open_keys, "key"), classes, pairs=True)
-    more = confirmed(between(rest), classes, docs, text, key)
-    roots = materialize(components(links.unionByName(more)), "roots")
+    links, roots = None, None
+    for step in range(ROUNDS + 1):
+        rest = open_members(members, roots)
+        pairs = nearest(blocked(rest, classes, pairs=False)) if step < ROUNDS else between(blocked(rest, classes, pairs=True))
+        new = confirmed(pairs, classes, docs, text, key)
+        links = new if links is None else links.unionByName(new)
+        roots = materialize(components(links), "roots")
     firsts = classes.select("set_id", "first_doc").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     smallest = firsts.groupBy("root").agg(F.min("first_doc").alias("_component"))
     of_set = firsts.join(smallest, "root").select("set_id", "_component")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskspark.llm import bpe, langid, neardup, packing, quality, topk, toxicity
+from riskspark.llm import bpe, chat, fingerprints, langid, licences, neardup, packing, quality, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +15,22 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_chat_perspectives(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.rotate(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
+def op2_licences(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.licence_paragraphs(documents(spark, sf))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf), bpe.vocabulary())
 
 
+def op4_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.document_fingerprints(documents(spark, sf))
+
+
 def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
 
@@ -45,6 +57,10 @@ def op10_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op3_best_fit_packing, op5_quality, op6_bpe, op7_language_id, op8_exact_top_k, op9_toxicity, op10_near_duplicates)
+    for f in (
+        op1_chat_perspectives, op2_licences, op3_best_fit_packing, op4_fingerprints, op5_quality, op6_bpe, op7_language_id,
+        op8_exact_top_k, op9_toxicity, op10_near_duplicates,
+    )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The dialogue has SQL; the others are tested against brute force, exact round trips or held-out labels.
+ORACLE_SQL: dict[str, str] = {"op1_chat_perspectives": chat.SQL}
