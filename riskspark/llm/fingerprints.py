@@ -18,8 +18,8 @@ SHIFTS, HASHES = 31, 2
 LANES = 2 * SHIFTS * HASHES
 WIDE = 4
 CELLS, RANGE_ROWS = 1 << 14, 2_000
-#: Ends of clauses; white space after them goes.
-CLAUSE = r"(?<=[.!?;:,|])\s+"
+#: A sign before white space ends a clause.
+CLAUSE = r"(?<=[^\p{L}\p{N}\s])\s+"
 _LOW32, _LOW16, _PAIR = 0xFFFFFFFF, 0xFFFF, 1 | 1 << 31
 
 

@@ -1,14 +1,15 @@
 """Licence families of paragraphs: a sparse word n-gram logistic model, confirmed against templates.
 
-The model is multinomial logistic regression over the presence of the templates' word pairs and triples. It
-is trained on variants of the templates (each word left out, each stretch of most of the words) and on a
-bounded sample of paragraphs of the corpus that resemble no template, the class `unknown`. A held-out part of
-both sets the probability from which a family is believed: the lowest that keeps CALIBRATED of the believed
-held-out paragraphs right; all others are `unknown`. A believed family is confirmed by the closest of its
-templates.
-
-A paragraph without any of the templates' n-grams has the score of an empty one, `unknown`; only the others are
-scored one by one. All of it is DataFrame functions and Spark's own learner.
+The model is multinomial logistic regression over the presence of the templates' word pairs and triples that
+hold a telling word, i.e. one that isn't among COMMON. It is trained on variants of the templates (each word left
+out, each stretch of most of the words) and on a bounded sample of paragraphs of the corpus that resemble no
+template, the class `unknown`. A held-out part of both sets the probability from which a family is believed: the
+lowest that keeps CALIBRATED of the believed held-out paragraphs right; all others are `unknown`. A believed
+family is confirmed by the closest of its templates.
+
+A paragraph without a telling word has no feature and so the score of an empty one, `unknown`: those with one are
+written out as candidates and scored by joins with the weights. All of it is DataFrame functions and Spark's own
+learner.
 """
 
 from __future__ import annotations
@@ -49,6 +50,12 @@ TEMPLATES = [
 ]
 
 
+#: Words of the templates that any text may hold; no feature is made of them alone.
+COMMON = set("a all and any are as at be been binary can copy except file files following for form free has have in is it "
+             "may met not obtain of or person program project redistribute source subject terms that the this to under use v version "
+             "with without work you 0 1 2 3 4".split())
+
+
 def words_of(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
@@ -63,7 +70,7 @@ def ngrams(words: Column) -> Column:
 
 @dataclass(frozen=True)
 class LicenceModel:
-    """Weights per (n-gram, family), intercepts, the believed probability; sizes are bounded by the templates."""
+    """`weights[term][family]`, intercepts, the believed probability; the templates bound all sizes."""
 
     families: list[str]
     terms: list[str]
@@ -71,16 +78,19 @@ class LicenceModel:
     intercepts: list[float]
     believed: float
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(t, [float(x) for x in w]) for t, w in zip(self.terms, self.weights)]
-        return spark.createDataFrame(rows, "term string, weights array<double>")
-
 
 def templates(spark: SparkSession) -> DataFrame:
     rows = spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(TEMPLATES)], "template int, family string, notice string")
     return rows.withColumn("words", words_of(F.col("notice"))).withColumn("grams", ngrams(F.col("words")))
 
 
+def telling(known: DataFrame) -> tuple[list[str], list[str]]:
+    """(telling words, terms): every term holds a telling word."""
+    rows = known.select("words", "grams").collect()
+    words = sorted({w for r in rows for w in r["words"]} - COMMON)
+    return words, sorted({g for r in rows for g in r["grams"] if not set(g.split()) <= COMMON})
+
+
 def variants(known: DataFrame) -> DataFrame:
     """(family, words): each template whole (several times), without one word, and in stretches of most of its words."""
     n = F.size("words")
@@ -90,46 +100,55 @@ def variants(known: DataFrame) -> DataFrame:
     return known.select("family", F.explode(F.concat(F.array_repeat(F.col("words"), 8), without, stretches)).alias("words"))
 
 
+def matches(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, template, _f, notice, n_own, n_template, common) for every template that shares n-grams with a row (id, grams)."""
+    theirs = known.select("template", F.col("family").alias("_f"), "notice", F.size("grams").alias("n_template"), F.explode("grams").alias("gram"))
+    own = rows.select("id", F.size("grams").alias("n_own"), F.explode("grams").alias("gram"))
+    return own.join(F.broadcast(theirs), "gram").groupBy("id", "template", "_f", "notice", "n_own", "n_template").agg(F.count("*").alias("common"))
+
+
 def sample_paragraphs(docs: DataFrame, known: DataFrame, text: str, rows: int) -> DataFrame:
-    """About `rows` different paragraphs of the corpus that share under a third of any template's n-grams."""
-    lines = docs.where(F.length(text) > 0).select(F.explode(F.split(text, "\n")).alias("line"))
+    """About `rows` different paragraphs of the corpus that hold under a third of any template's n-grams."""
     n = docs.count()
-    spread = F.pmod(F.xxhash64("line"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, rows / max(1, 4 * n))) + 1)
-    some = lines.where(spread & (F.length("line") > 0)).distinct().select(words_of(F.col("line")).alias("words")).limit(4 * rows)
-    some = some.withColumn("grams", ngrams(F.col("words")))
-    like = F.greatest(F.lit(0.0), *[F.size(F.array_intersect("grams", F.lit(list(r["grams"])))) / float(max(1, len(r["grams"]))) for r in known.collect()])
-    return some.where(like < 1 / 3).select(F.lit(UNKNOWN).alias("family"), "words")
+    lines = docs.where(F.length(text) > 0).select(F.explode(F.split(text, "\n")).alias("line")).where(F.length("line") > 0)
+    chosen = F.pmod(F.xxhash64("line"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, rows / max(1, 4 * n))) + 1)
+    some = lines.where(chosen).distinct().limit(4 * rows).select(F.monotonically_increasing_id().alias("id"), words_of(F.col("line")).alias("words"))
+    some = materialize(some.withColumn("grams", ngrams(F.col("words"))), "paragraph-sample")
+    like = matches(some, known).where(3 * F.col("common") >= F.col("n_template")).select("id").distinct()
+    return some.join(F.broadcast(like), "id", "left_anti").select(F.lit(UNKNOWN).alias("family"), "words")
 
 
 def fit(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_PARAGRAPHS) -> LicenceModel:
+    """Model and calibration from the templates and about `sample_rows` paragraphs of `docs`."""
     spark = docs.sparkSession
     known = templates(spark)
     rows = variants(known).unionByName(sample_paragraphs(docs, known, text, sample_rows))
-    rows = materialize(rows.select("family", ngrams(F.col("words")).alias("grams")), "licence-rows")
-    terms = sorted({g for r in known.collect() for g in r["grams"]})
+    _, terms = telling(known)
     families = [UNKNOWN, *sorted({f for f, _ in TEMPLATES})]
-    counted = CountVectorizerModel.from_vocabulary(terms, inputCol="grams", outputCol="features").setBinary(True)
     label = F.array_position(F.lit(families), F.col("family")).cast("double") - 1
-    fold = F.pmod(F.xxhash64(F.array_join("grams", "|")), F.lit(5))
-    known_rows = counted.transform(rows.withColumn("label", label).withColumn("fold", fold))
-    train = LogisticRegression(family="multinomial", regParam=0.002, maxIter=60, standardization=False)
-    # Families whose variants all fall in the held-out fold would be lost: template words are always trained on.
-    model = train.fit(known_rows.where("fold <> 0 or label > 0").coalesce(2))
-    held = model.transform(known_rows.where("fold = 0"))
-    p = vector_to_array("probability")
-    scored = held.select("label", "prediction", F.array_max(p).alias("top")).where("prediction > 0")
-    right = scored.select(F.col("label") == F.col("prediction"), "top").collect()
-    believed = 0.5
-    for cut in sorted({round(t, 3) for _, t in right if t >= 0.5}) or [0.5]:
-        taken = [ok for ok, t in right if t >= cut]
-        if taken and sum(taken) >= CALIBRATED * len(taken):
-            believed = max(0.5, cut)
+    rows = rows.select(label.alias("label"), ngrams(F.col("words")).alias("grams")).withColumn("fold", F.pmod(F.xxhash64(F.array_join("grams", "|")), F.lit(5)))
+    rows = materialize(rows, "licence-rows")
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    weight = F.get(F.lit([1.0 / sizes.get(float(k), 1) for k in range(len(families))]), F.col("label").cast("int")) * float(sum(sizes.values()) / len(families))
+    counted = CountVectorizerModel.from_vocabulary(terms, inputCol="grams", outputCol="features").setBinary(True)
+    vectors = counted.transform(rows.withColumn("weight", weight))
+    # Templates are always trained on; only the corpus and the variants beyond a fold are held out.
+    train = LogisticRegression(family="multinomial", regParam=3e-4, maxIter=60, standardization=False, weightCol="weight")
+    model = train.fit(vectors.where("fold <> 0 or label > 0").coalesce(2))
+    top = F.array_max(vector_to_array("probability"))
+    held = model.transform(vectors.where("fold = 0")).select((F.col("label") == F.col("prediction")).alias("ok"), F.round(top, 3).alias("top"), "prediction")
+    counts = held.where("prediction > 0").groupBy("top").agg(F.count("*").alias("n"), F.count_if("ok").alias("right")).orderBy(F.desc("top")).collect()
+    believed, n, right = 0.5, 0, 0
+    for r in counts:  # at most a thousand rounded probabilities
+        n, right = n + r["n"], right + r["right"]
+        if right < CALIBRATED * n:
             break
-    coefficients = model.coefficientMatrix.toArray()
-    width = len(families)
-    full = [[float(coefficients[k][i]) if k < len(coefficients) else -30.0 for k in range(width)] for i in range(len(terms))]
-    intercepts = [float(model.interceptVector[k]) if k < len(coefficients) else -30.0 for k in range(width)]
-    return LicenceModel(families, terms, full, intercepts, believed)
+        believed = max(0.5, r["top"])
+    coefficients, width = model.coefficientMatrix.toArray(), len(families)
+    return LicenceModel(
+        families, terms, [[float(coefficients[k][i]) for k in range(width)] for i in range(len(terms))],
+        [float(model.interceptVector[k]) for k in range(width)], min(believed, 0.9),
+    )
 
 
 def scan(docs: DataFrame, model: LicenceModel, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -140,39 +159,37 @@ def scan(docs: DataFrame, model: LicenceModel, text: str = "text", key: str = "d
     texts and `unknown` paragraphs give no row; repeated rows repeat. Other columns are left out.
     """
     spark = docs.sparkSession
-    lines = docs.where(F.length(text) > 0).select(key, F.posexplode(F.split(text, "\n")).alias("paragraph", "line"))
-    pairs = [t for t in model.terms if t.count(" ") == 1]
-    # A triple's pairs are terms too, so a paragraph without any of the pairs has no feature at all.
-    words = lines.where(F.length("line") > 0).select(key, "paragraph", words_of(F.col("line")).alias("words"))
-    first = F.array_distinct(F.lit([p.split(" ")[0] for p in pairs]))
-    some = words.where(F.arrays_overlap("words", first)).withColumn("all", ngrams(F.col("words")))
-    some = some.withColumn("hits", F.array_intersect("all", F.lit(model.terms))).where(F.size("hits") > 0)
-    weights = F.lit([x for w in model.weights for x in w])
-    width = len(model.families)
-
-    def margin(k: int) -> Column:
-        return F.lit(model.intercepts[k]) + F.aggregate("at", F.lit(0.0), lambda s, i: s + F.get(weights, (i - 1) * width + k))
-
-    margins = [margin(k) for k in range(width)]
-    at = F.transform("hits", lambda h: F.array_position(F.lit(model.terms), h).cast("int"))
-    scored = some.withColumn("at", at).withColumn("z", F.array(*margins)).withColumn("top", F.array_max("z"))
-    p = 1 / F.aggregate("z", F.lit(0.0), lambda s, z: s + F.exp(z - F.col("top")))
-    best = scored.select(key, "paragraph", "all", F.array_position("z", F.col("top")).alias("_k"), p.alias("probability"))
-    best = best.withColumn("family", F.get(F.lit(model.families), (F.col("_k") - 1).cast("int")))
-    best = best.where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.believed))
-    known = templates(spark).select("template", F.col("family").alias("_f"), "notice", "grams")
-    near = F.lit(0.0)
-    closest = F.lit(None).cast("string")
-    for r in known.collect():
-        common = F.size(F.array_intersect("all", F.lit(list(r["grams"]))))
-        share = F.when(F.col("family") == r["_f"], F.greatest(common / float(len(r["grams"])), common / F.size("all"))).otherwise(0.0)
-        closest = F.when(share > near, F.lit(r["notice"])).otherwise(closest)
-        near = F.greatest(near, share)
-    return best.select(
-        key, F.col("paragraph").cast("long").alias("paragraph"), "family", F.round("probability", 6).alias("probability"),
-        closest.alias("template"), F.round(near, 6).alias("overlap"), (near >= OVERLAP).alias("confirmed"),
+    known = templates(spark)
+    gate, _ = telling(known)
+    lines = docs.where(F.length(text) > 0).select(F.col(key).alias("_key"), F.posexplode(F.split(text, "\n")).alias("paragraph", "line"))
+    words = lines.where(F.length("line") > 0).select("_key", "paragraph", words_of(F.col("line")).alias("words"))
+    some = words.where(F.arrays_overlap("words", F.lit(gate))).withColumn("id", F.monotonically_increasing_id())
+    some = materialize(some, "licence-candidates")
+    some = materialize(some.select("id", "_key", "paragraph", ngrams(F.col("words")).alias("grams")), "licence-grams")
+    weights = spark.createDataFrame(list(zip(model.terms, model.weights)), "gram string, w array<double>")
+    width = range(len(model.families))
+    margins = some.select("id", F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram").groupBy("id").agg(
+        *[(F.sum(F.get("w", F.lit(k))) + model.intercepts[k]).alias(f"z{k}") for k in width]
+    )
+    top = F.greatest(*[F.col(f"z{k}") for k in width])
+    odds = margins.withColumn("top", top).select(
+        "id", *[F.exp(F.col(f"z{k}") - F.col("top")).alias(f"e{k}") for k in width]
+    )
+    total = sum((F.col(f"e{k}") for k in width), F.lit(0.0))
+    best = F.coalesce(*[F.when(F.col(f"e{k}") == 1.0, F.lit(model.families[k])) for k in width])
+    believed = odds.select("id", (1 / total).alias("probability"), best.alias("family")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.believed))
+    rows = some.join(believed, "id")
+    share = F.greatest(F.col("common") / F.col("n_template"), F.col("common") / F.col("n_own"))
+    near = matches(rows.select("id", "grams"), known).withColumn("share", share)
+    near = near.groupBy("id", "_f").agg(F.max(F.struct("share", F.negative("template").alias("t"), "notice")).alias("near"))
+    found = rows.join(near.withColumnRenamed("_f", "family"), ["id", "family"], "left")
+    overlap = F.coalesce(F.col("near.share"), F.lit(0.0))
+    return found.select(
+        F.col("_key").alias(key), F.col("paragraph").cast("long").alias("paragraph"), "family", F.round("probability", 6).alias("probability"),
+        F.col("near.notice").alias("template"), F.round(overlap, 6).alias("overlap"), (overlap >= OVERLAP).alias("confirmed"),
     )
 
 
 def licence_paragraphs(docs: DataFrame) -> DataFrame:
+    """Every licence paragraph of the documents."""
     return scan(docs, fit(docs))
