@@ -180,6 +180,12 @@ class Encoder:
         self.chunks.put_all(new, sum(map(len, todo)) + 4 * len(ids) + 400 * len(todo))
         return known
 
+    def texts(self, texts: Sequence[bytes]) -> list[bytes]:
+        """Ids of each text by its chunks: each different chunk is encoded once."""
+        chunks = cut(texts)
+        known = self.learn([c for cs in chunks for c in cs])
+        return [self.joined(cs, known) for cs in chunks]
+
     def one(self, run: bytes) -> bytes:
         return self.run_ids([run.decode("utf-8")])[0]
 
@@ -282,9 +288,7 @@ def encode(df: DataFrame, vocab: str, text: str = "text", carry: Sequence[str] |
         enc = encoder(vocab)
 
         def compute(texts: list[bytes]) -> list[pa.Array]:
-            chunks = cut(texts)
-            known = enc.learn([c for cs in chunks for c in cs])
-            ids = [enc.joined(cs, known) for cs in chunks]
+            ids = enc.texts(texts)
             out = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
             return [*out, pa.array([enc.decode(x) for x in ids], pa.string())] if decoded else out
 

@@ -68,6 +68,14 @@ def text_features(docs: DataFrame, carry: list[str], text: str = "text") -> Data
     return map_texts(docs, make, "features binary", text, carry)
 
 
+def held(known: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Places in sorted `known` of the features that a text has."""
+    if not len(known):
+        return np.zeros(0, np.int64)
+    at = np.searchsorted(known, text)
+    return at[known[np.minimum(at, len(known) - 1)] == text]
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> ToxicityModel:
     """Full-batch Adam on the non-negative risk, over the features that tell positives from unlabelled texts.
 
@@ -76,14 +84,15 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     """
     found, counts = np.unique(np.concatenate(positive), return_counts=True)
     found, counts = found[counts >= LEAST_TEXTS], counts[counts >= LEAST_TEXTS]
-    others = np.concatenate([np.zeros(0, np.int64), *unlabelled])
-    others = np.bincount(np.searchsorted(found, others[np.isin(others, found)]), minlength=len(found))
+    others = np.zeros(len(found), np.int64)
+    for t in unlabelled:
+        others[held(found, t)] += 1
     n_p, n_u = len(positive), max(1, len(unlabelled))
     share, base = counts / n_p, (others + 0.5) / (n_u + 1)
     known = found[share - base > EVIDENCE * np.sqrt(base * (1 - np.minimum(base, 0.999)) * (1 / n_p + 1 / n_u))]
 
     def matrix(texts):
-        cols = [np.searchsorted(known, t[np.isin(t, known, assume_unique=True)]) for t in texts]
+        cols = [held(known, t) for t in texts]
         return np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols) if cols else np.zeros(0, np.int64), max(1, len(cols))
 
     (rp, cp, n_p), (ru, cu, n_u) = matrix(positive), matrix(unlabelled)
@@ -138,7 +147,7 @@ def learn(
         bounded_sample(known.select(key, F.lit("u").alias("_class")), "_class", unlabelled_rows, key, "unlabelled")
     ).dropDuplicates().limit(2 * (positive_rows + unlabelled_rows))
     sample = text_features(docs.select(key, text).join(F.broadcast(chosen), key), ["_class"], text).toPandas()
-    arrays = {c: [np.frombuffer(x, "<u4").astype(np.int64) for x in g] for c, g in sample.groupby("_class")["features"]}
+    arrays = {c: [np.frombuffer(x, "<u4") for x in g] for c, g in sample.groupby("_class")["features"]}
     if not arrays.get("p"):
         return ToxicityModel({}, float(np.log(prior / (1 - prior))))
     return fit(arrays["p"], arrays.get("u", []), prior)
