@@ -50,9 +50,9 @@ TEMPLATES = [
 ]
 
 
-#: Words of the templates that any text may hold; no feature is made of them alone.
+#: Words of the templates that any text may hold (`mit` is a German word too); no feature is made of them alone.
 COMMON = set("a all and any are as at be been binary by can copy except file files following for form free has have in is it "
-             "may met not obtain of or person program project redistribute source subject terms that the this to under use v version "
+             "may met mit not obtain of or person program project redistribute source subject terms that the this to under use v version "
              "with without work you 0 1 2 3 4".split())
 
 
