@@ -6,11 +6,12 @@ CHUNKS * WIDTH symbols are split into CHUNKS chunks; a pair that differs in at m
 `CHUNKS * (ERRORS + 1) - 1` of them has, by the pigeonhole principle, a chunk with at most ERRORS differences,
 so it shares one of the keys that enumerate the chunk's error places (each chunk without ERRORS of its
 symbols). At a similarity of 0.75 two sets miss all chunks with probability (1 - 0.738)^8, about 2e-5, and
-less above. Classes of a key are compared by the distance of whole signatures; a pair is dropped only beyond
+less above. Classes of a key are compared by size (0.75 is out of reach for sets of more unequal sizes) and by the distance
+of whole signatures; a pair is dropped only beyond
 DISTANCE differing symbols, 4.3 standard deviations above the mean at 0.75.
 
 Links are confirmed on full sets, in rounds, so that a large group of near copies doesn't cost all its pairs:
-ROUNDS times, every class's nearest neighbour by signature in another component (at most one pair a class),
+ROUNDS times, every class's NEIGHBOURS nearest by signature in other components (as many pairs a class at most),
 the confirmed links contracted into components each time; then, in keys that still hold several components,
 all pairs between different components. Pairs inside a component can't change the result. Keys with many classes are cut into
 blocks of bounded size. Sets of the classes in question are read again from the documents, not carried along.
@@ -33,7 +34,7 @@ from riskspark.session import materialize
 SHINGLE, PERCENT = 5, 75
 SYMBOLS, CHUNKS, WIDTH, ERRORS = 256, 8, 4, 1
 DISTANCE = 94
-ROUNDS = 3
+ROUNDS, NEIGHBOURS = 3, 3
 BLOCK = 2_048
 SLOTS = 1 << 19
 SET_BYTES = 5
@@ -150,12 +151,14 @@ def close_pairs(table: pa.Table, cols: list[str]) -> Iterator[tuple[np.ndarray,
     group = np.cumsum(group > 0)
     size = np.bincount(group)
     left_over = (np.cumsum(size)[group] - 1) - np.arange(n)
+    size_of = table.column("n_shingles").to_numpy()
     sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(n, SYMBOLS)
     rows = np.flatnonzero(left_over > 0)
     d = 1
     while len(rows):
         for a in range(0, len(rows), 1 << 16):
             i = rows[a : a + (1 << 16)]
+            i = i[100 * np.minimum(size_of[i], size_of[i + d]) >= PERCENT * np.maximum(size_of[i], size_of[i + d])]
             far = (sig[i] != sig[i + d]).sum(axis=1)
             near = far <= DISTANCE
             if near.any():
@@ -165,7 +168,10 @@ def close_pairs(table: pa.Table, cols: list[str]) -> Iterator[tuple[np.ndarray,
 
 
 def nearest(members: DataFrame) -> DataFrame:
-    """(a, b) with a < b: for each class its nearest one of another component over all its keys; at most one row a class."""
+    """(a, b) with a < b: each class's nearest ones of other components.
+
+    A key's block offers a class its nearest; of these, one for each of its keys at most, NEIGHBOURS are taken.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key", "block"]):
@@ -181,8 +187,9 @@ def nearest(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(best[at]), pa.array(other[at])], names=["set_id", "far", "other"])
 
     found = members.mapInArrow(find, "set_id long, far long, other long")
-    best = found.groupBy("set_id").agg(F.min(F.struct("far", "other")).alias("best"))
-    return best.select(F.least("set_id", "best.other").alias("a"), F.greatest("set_id", "best.other").alias("b")).distinct()
+    best = found.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("far", "other"))), 1, NEIGHBOURS).alias("best"))
+    best = best.select("set_id", F.explode("best.other").alias("other"))
+    return best.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
 
 
 def between(members: DataFrame) -> DataFrame:
@@ -214,7 +221,7 @@ def blocked(members: DataFrame, sketches: DataFrame, pairs: bool) -> DataFrame:
         placed = members.withColumn("block", F.explode(each))
     else:
         placed = members.withColumn("block", own)
-    laid = placed.join(sketches.select("set_id", "signature"), "set_id")
+    laid = placed.join(sketches.select("set_id", "signature", "n_shingles"), "set_id")
     return laid.repartition("key", "block").sortWithinPartitions("key", "block", "set_id")
 
 
@@ -318,7 +325,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     sketches = materialize(sketch(docs, text, key), "sketches")
     rows = sketches.where("set_id is not null")
     classes = materialize(
-        rows.groupBy("set_id").agg(F.min(key).alias("first_doc"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "classes"
+        rows.groupBy("set_id").agg(F.min(key).alias("first_doc"), F.first("keys").alias("keys"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes"
     )
     each = classes.select("set_id", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")

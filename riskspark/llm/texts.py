@@ -61,7 +61,11 @@ def runs_of(texts: Sequence[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
     split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
     coded = split.flatten().dictionary_encode()
     edges = split.offsets.to_numpy()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), edges - edges[0]
+    runs, codes, edges = coded.dictionary.to_pylist(), coded.indices.to_numpy(), edges - edges[0]
+    if "" in runs:  # white space at an end leaves an empty run
+        some = codes != runs.index("")
+        codes, edges = codes[some], np.concatenate(([0], np.cumsum(some)))[edges]
+    return runs, codes, edges
 
 
 class Kept:
