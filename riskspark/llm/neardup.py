@@ -32,9 +32,9 @@ from riskspark.llm.texts import map_texts, runs_of
 from riskspark.session import materialize
 
 SHINGLE, PERCENT = 5, 75
-SYMBOLS, CHUNKS, WIDTH, ERRORS = 256, 8, 4, 1
-DISTANCE = 94
-ROUNDS, NEIGHBOURS = 3, 3
+SYMBOLS, CHUNKS, WIDTH, ERRORS = 512, 8, 4, 1
+DISTANCE = 170
+ROUNDS, NEIGHBOURS = 5, 3
 BLOCK = 2_048
 SLOTS = 1 << 19
 SET_BYTES = 5
@@ -234,7 +234,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
     """
 
     pairs = materialize(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(classes.select("set_id", "first_doc"), "set_id")
+    needed = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct().join(classes.select("set_id", "first_doc"), "set_id")
     slot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(SLOTS)).cast("int")
     slots = materialize(needed.select(slot("first_doc").alias("_slot")).distinct(), "slots")
 
