@@ -10,11 +10,13 @@ less above. Classes of a key are compared by size (0.75 is out of reach for sets
 of whole signatures; a pair is dropped only beyond
 DISTANCE differing symbols, 4.3 standard deviations above the mean at 0.75.
 
-Links are confirmed on full sets, in rounds, so that a large group of near copies doesn't cost all its pairs:
-ROUNDS times, every class's NEIGHBOURS nearest by signature in other components (as many pairs a class at most),
-the confirmed links contracted into components each time; then, in keys that still hold several components,
-all pairs between different components. Pairs inside a component can't change the result. Keys with many classes are cut into
-blocks of bounded size. Sets of the classes in question are read again from the documents, not carried along.
+Links are confirmed on full sets. First, ROUNDS times, every class's NEIGHBOURS nearest by signature in other
+components (as many pairs a class at most), the confirmed links contracted into components each time. Then keys that
+still hold several components are laid out with the full sets, and a task compares all pairs between components
+in its block: a pair is tested under the first key that it shares, and only links that join two components of the
+block come out, so a block of n classes gives at most n - 1 rows however many pairs it tests. Pairs inside a
+component can't change the result. Keys with many or large classes are cut into blocks of bounded size. Sets of the
+classes in question are read again from the documents, not carried along.
 """
 
 from __future__ import annotations
@@ -32,10 +34,11 @@ from riskspark.llm.texts import map_texts, runs_of
 from riskspark.session import materialize
 
 SHINGLE, PERCENT = 5, 75
-SYMBOLS, CHUNKS, WIDTH, ERRORS = 512, 8, 4, 1
-DISTANCE = 170
-ROUNDS, NEIGHBOURS = 5, 3
-BLOCK = 2_048
+SYMBOLS, CHUNKS, WIDTH, ERRORS = 128, 8, 4, 1
+DISTANCE = 53
+ROUNDS, NEIGHBOURS = 2, 3
+#: Classes, and shingles of all their sets, of a block.
+BLOCK, BLOCK_SHINGLES = 2_048, 4_000_000
 SLOTS = 1 << 19
 SET_BYTES = 5
 _MIX = np.random.default_rng(75).integers(1, 1 << 63, (SYMBOLS, 2), dtype=np.uint64) | np.uint64(1)
@@ -192,49 +195,107 @@ def nearest(members: DataFrame) -> DataFrame:
     return best.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
 
 
-def between(members: DataFrame) -> DataFrame:
-    """(a, b) with a < b: pairs of classes of different components that share a key and are near by signature."""
+def first_met(keys: np.ndarray, key: int, i: int, js: np.ndarray) -> np.ndarray:
+    """Those of the rows `js` that share no key with row `i` before `key`; keys[p] has the rows' keys at place p."""
+    for at in keys:
+        if at[i] == key or not len(js):
+            break
+        js = js[at[js] != at[i]]
+    return js
+
+
+def joining_links(table: pa.Table) -> Iterator[tuple[int, int]]:
+    """(row, row) of confirmed links that join two components of a (key, block) group."""
+    n = table.num_rows
+    key, block, own, part, size = (table.column(c).to_numpy() for c in ("key", "block", "own", "part", "n_shingles"))
+    keys = np.ascontiguousarray(pa.concat_arrays(table.column("keys").chunks).flatten().to_numpy().reshape(n, -1).T)
+    sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(n, SYMBOLS)
+    sets = table.column("members")
+    starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]))))
+    for s, e in zip(starts, [*starts[1:], n]):
+        comp = np.unique(part[s:e], return_inverse=True)[1]
+        codes = None
+        if comp.max() == 0:
+            continue
+        mixed_blocks = len(np.unique(own[s:e])) > 1
+        for i in range(s, e - 1):
+            js = np.flatnonzero(comp[i + 1 - s :] != comp[i - s]) + i + 1
+            if mixed_blocks:  # pairs inside a block are tested where the block is alone
+                js = js[own[js] != own[i]]
+            js = js[100 * np.minimum(size[i], size[js]) >= PERCENT * np.maximum(size[i], size[js])]
+            js = first_met(keys[:, s:e], key[i], i - s, js - s) + s
+            js = js[(sig[js] != sig[i]).sum(axis=1) <= DISTANCE]
+            if not len(js):
+                continue
+            if codes is None:
+                found = [numbers(x) for x in sets.slice(s, e - s).to_pylist()]
+                long = np.array([len(x) for x in found])
+                at = np.concatenate(([0], np.cumsum(long)))
+                codes = np.unique(np.concatenate(found), return_inverse=True)[1]
+                mark = np.zeros(codes.max() + 1, bool)
+                del found
+            mine, rows = codes[at[i - s] : at[i - s + 1]], js - s
+            mark[mine] = True
+            upto = np.cumsum(long[rows])
+            begin = upto - long[rows]
+            # Every candidate's shingles end to end, and how many of each are among this row's.
+            places = np.arange(upto[-1]) + np.repeat(at[rows] - begin, long[rows])
+            common = np.add.reduceat(mark[codes[places]].astype(np.int64), begin)
+            mark[mine] = False
+            for j in rows[100 * common >= PERCENT * (len(mine) + long[rows] - common)]:
+                if comp[j] != comp[i - s]:
+                    comp[comp == comp[j]] = comp[i - s]
+                    yield i, j + s
+
+
+def between(laid: DataFrame) -> DataFrame:
+    """(a, b) with a < b: confirmed links that join different components, from members laid out with their sets."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key", "block"]):
-            ids, parts = table.column("set_id").to_numpy(), table.column("part").to_numpy()
-            out = []
-            for i, j, _ in close_pairs(table, ["key", "block"]):
-                apart = (parts[i] != parts[j]) & (ids[i] != ids[j])
-                out.append(np.stack([np.minimum(ids[i], ids[j])[apart], np.maximum(ids[i], ids[j])[apart]], axis=1))
-            if out:
-                pairs = np.unique(np.concatenate(out), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            ids = table.column("set_id").to_numpy()
+            links = np.array(list(joining_links(table)), np.int64).reshape(-1, 2)
+            ends = np.sort(ids[links], axis=1)
+            if len(ends):
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
-    return members.mapInArrow(find, "a long, b long").distinct()
+    return materialize(laid.mapInArrow(find, "a long, b long").distinct(), "links")
 
 
-def blocked(members: DataFrame, sketches: DataFrame, pairs: bool) -> DataFrame:
-    """Members (key, n, set_id, ...) with their signatures, laid out by (key, block) of at most about 2 * BLOCK rows.
+def blocked(members: DataFrame, classes: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """Members (key, n, weight, set_id, ...) with their signatures, laid out by (key, block) of bounded size.
 
-    With `pairs`, a key of several blocks is laid out by pairs of blocks, so that all its pairs meet.
+    With `sets`, a row has its keys and its full set too, and a key of several blocks is laid out by pairs of
+    blocks, so that all its pairs meet.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    own = F.pmod(F.xxhash64("set_id"), blocks)
-    if pairs:
-        each = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.least(own, j) * blocks + F.greatest(own, j))
-        placed = members.withColumn("block", F.explode(each))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("long")
+    placed = members.withColumn("own", F.pmod(F.xxhash64("set_id"), blocks))
+    columns = ["set_id", "signature", "n_shingles"]
+    if sets is None:
+        laid = placed.withColumn("block", F.col("own"))
     else:
-        placed = members.withColumn("block", own)
-    laid = placed.join(sketches.select("set_id", "signature", "n_shingles"), "set_id")
+        each = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.least("own", j) * blocks + F.greatest("own", j))
+        laid = placed.withColumn("block", F.explode(each)).join(sets, "set_id")
+        columns.append("keys")
+    laid = laid.join(classes.select(columns), "set_id")
     return laid.repartition("key", "block").sortWithinPartitions("key", "block", "set_id")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= PERCENT * union.
+def numbers(raw: bytes) -> np.ndarray:
+    """The shortened hashes of a set."""
+    wide = np.zeros((len(raw) // SET_BYTES, 8), np.uint8)
+    wide[:, :SET_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SET_BYTES)
+    return wide.view("<u8").ravel()
+
+
+def full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(set_id, members) of the classes whose set_id is in `ids`, members being shortened hashes end to end.
 
     Sets come from the classes' first documents. These are found without moving texts: the ids in question
     leave marks in SLOTS slots, a table of bounded size that is broadcast; what else a slot lets through goes
     in the join on the class.
     """
-
-    pairs = materialize(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct().join(classes.select("set_id", "first_doc"), "set_id")
+    needed = ids.select("set_id").distinct().join(classes.select("set_id", "first_doc"), "set_id")
     slot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(SLOTS)).cast("int")
     slots = materialize(needed.select(slot("first_doc").alias("_slot")).distinct(), "slots")
 
@@ -255,17 +316,19 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
 
     near = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).withColumn("_slot", slot("_doc")).join(F.broadcast(slots), "_slot", "left_semi")
     sets = map_texts(near.select("_doc", "_text"), make, "set_id long, members binary", "_text", ["_doc"])
-    sets = sets.join(needed, (sets["set_id"] == needed["set_id"]) & (sets["_doc"] == needed["first_doc"]), "left_semi")
-    sets = materialize(sets.select("set_id", "members").dropDuplicates(["set_id"]), "sets")
+    sets = sets.join(needed, (sets["set_id"] == needed["set_id"]) & sets["_doc"].eqNullSafe(needed["first_doc"]), "left_semi")
+    return materialize(sets.select("set_id", "members").dropDuplicates(["set_id"]), "sets")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= PERCENT * union."""
+    pairs = materialize(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id")))
+    sets = full_sets(ends, classes, docs, text, key)
     both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("members").alias("of_a")), "a").join(
         sets.select(F.col("set_id").alias("b"), F.col("members").alias("of_b")), "b"
     )
 
-    def numbers(raw: bytes) -> np.ndarray:
-        wide = np.zeros((len(raw) // SET_BYTES, 8), np.uint8)
-        wide[:, :SET_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SET_BYTES)
-        return wide.view("<u8").ravel()
-
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -327,16 +390,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     classes = materialize(
         rows.groupBy("set_id").agg(F.min(key).alias("first_doc"), F.first("keys").alias("keys"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes"
     )
-    each = classes.select("set_id", F.explode("keys").alias("key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(each.join(shared, "key"), "members")
+    each = classes.select("set_id", "n_shingles", F.explode("keys").alias("key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).where("n > 1")
+    members = materialize(each.drop("n_shingles").join(shared, "key"), "members")
     links, roots = None, None
-    for step in range(ROUNDS + 1):
-        rest = open_members(members, roots)
-        pairs = nearest(blocked(rest, classes, pairs=False)) if step < ROUNDS else between(blocked(rest, classes, pairs=True))
+    for _ in range(ROUNDS):
+        pairs = nearest(blocked(open_members(members, roots), classes))
         new = confirmed(pairs, classes, docs, text, key)
         links = new if links is None else links.unionByName(new)
         roots = materialize(components(links), "roots")
+    rest = materialize(open_members(members, roots), "open")
+    last = between(blocked(rest, classes, full_sets(rest, classes, docs, text, key)))
+    links = last if links is None else links.unionByName(last)
+    roots = materialize(components(links), "roots")
     firsts = classes.select("set_id", "first_doc").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     smallest = firsts.groupBy("root").agg(F.min("first_doc").alias("_component"))
     of_set = firsts.join(smallest, "root").select("set_id", "_component")

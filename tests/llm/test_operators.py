@@ -153,8 +153,10 @@ def test_near_duplicates_equal_brute_force(spark, docs, odd, table):
     assert all(r["kept"] == (r["doc_id"] is not None and r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_near_duplicates_in_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 4)
+@pytest.mark.parametrize(("name", "limit", "rounds"), [("BLOCK", 4, 1), ("BLOCK", 4, 0), ("BLOCK_SHINGLES", 200, 0)])
+def test_near_duplicates_in_small_blocks(spark, monkeypatch, name, limit, rounds):
+    monkeypatch.setattr(neardup, name, limit)
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
     df = edited(spark)
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
     got = neardup.duplicate_groups(df).collect()
