@@ -36,7 +36,7 @@ from riskspark.session import materialize
 SHINGLE, PERCENT = 5, 75
 SYMBOLS, CHUNKS, WIDTH, ERRORS = 128, 8, 4, 1
 DISTANCE = 53
-ROUNDS, NEIGHBOURS = 2, 3
+ROUNDS, NEIGHBOURS = 1, 3
 #: Classes, and shingles of all their sets, of a block.
 BLOCK, BLOCK_SHINGLES = 2_048, 4_000_000
 SLOTS = 1 << 19
