@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from riskspark.plans import workflow
+from riskspark.session import SCRATCH
 from riskspark.sources.applications import read_applications_csv
 
 
@@ -24,6 +25,7 @@ def main() -> None:
     args = parser.parse_args()
 
     spark = SparkSession.builder.appName(f"riskspark-{args.phase}").getOrCreate()
+    spark.conf.set(SCRATCH, f"{args.out}/scratch")
     if args.phase == "train":
         workflow.run_train(spark, args.out, args.trials).show()
         return

@@ -356,6 +356,8 @@ SELECTS: dict[str, str] = {
     "flagship": f"""SELECT decision, band, count(*) AS n, CAST(sum(target) AS BIGINT) AS bad, {r('sum(target) / count(*)')} AS bad_rate
         FROM (SELECT *, {DECISION} AS decision, {BAND} AS band FROM card) GROUP BY 1, 2""",
     "src_applications_csv": "SELECT * FROM borrowers",
+    "src_csv_other_order": "SELECT * FROM borrowers",
+    "src_csv_unlabelled": "SELECT * REPLACE (CAST(NULL AS INT) AS target) FROM borrowers",
     "rename_columns": "SELECT * FROM borrowers",
     "sink_splits": f"SELECT {rounded(ENGINEERED)}, split FROM splits",
     "src_splits": f"SELECT {rounded(ENGINEERED)}, split FROM splits WHERE split = 'test'",

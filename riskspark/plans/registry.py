@@ -59,6 +59,25 @@ def q_csv(spark, sf):
     return io.read_applications_csv(spark, path)
 
 
+def _rewritten_csv(spark, sf, columns) -> str:
+    """Applications as a file with these columns, under the raw headers, after the id."""
+    path = scratch_path(spark, "applications-csv")
+    raw_names = {name: raw for raw, name in RAW_TO_NAME.items()}
+    rows = borrowers(spark, sf).select("id", *columns).withColumnsRenamed(raw_names)
+    rows.write.option("header", True).option("nullValue", "NA").csv(path)
+    return path
+
+
+@query("src_csv_other_order")
+def q_csv_other_order(spark, sf):
+    return io.read_applications_csv(spark, _rewritten_csv(spark, sf, reversed(RAW_TO_NAME.values())))
+
+
+@query("src_csv_unlabelled")
+def q_csv_unlabelled(spark, sf):
+    return io.read_applications_csv(spark, _rewritten_csv(spark, sf, [n for n in RAW_TO_NAME.values() if n != "target"]))
+
+
 @query("rename_columns")
 def q_rename(spark, sf):
     raw = borrowers(spark, sf).withColumnsRenamed({name: raw for raw, name in RAW_TO_NAME.items()})

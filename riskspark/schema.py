@@ -40,10 +40,6 @@ def _spark_type(name: str) -> T.DataType:
     return T.DoubleType() if name in DOUBLE_COLUMNS else T.IntegerType()
 
 
-RAW_SCHEMA = T.StructType(
-    [T.StructField(ID, T.LongType())]
-    + [T.StructField(raw, _spark_type(name)) for raw, name in RAW_TO_NAME.items()]
-)
 BORROWER_SCHEMA = T.StructType(
     [T.StructField(ID, T.LongType())]
     + [T.StructField(name, _spark_type(name)) for name in RAW_TO_NAME.values()]

@@ -8,16 +8,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shared folder used where spark.checkpoint.dir is unset; unlike that one, it can be set on a running session.
+SCRATCH = "riskspark.scratch.dir"
 _local_roots: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, private to this application."""
     app = spark.sparkContext.applicationId
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SCRATCH, None)
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+            raise RuntimeError("set spark.checkpoint.dir or riskspark.scratch.dir to a folder shared by all executors")
         if app not in _local_roots:
             _local_roots[app] = tempfile.mkdtemp(prefix="riskspark-")
         root = _local_roots[app]

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from riskspark.operators import clean, profile, quantiles, scale
 from riskspark.plans.registry import NUMERIC
-from riskspark.schema import BORROWER_SCHEMA, FEATURE_COLS, check_contract
+from riskspark.schema import BORROWER_SCHEMA, FEATURE_COLS, RAW_TO_NAME, check_contract
 from riskspark.sources import applications as io
 from riskspark.sources.borrowers import borrowers
 
@@ -40,6 +40,39 @@ def test_csv_reader_reads_missing_markers(spark, tmp_path):
     assert rows[1]["monthly_income"] is None and rows[1]["num_dependents"] is None
 
 
+HEADERS = list(RAW_TO_NAME)
+
+
+def csv_file(folder, headers, *rows):
+    folder.mkdir()
+    lines = [",".join(["", *headers]), *(",".join([str(k), *(str(r.get(h, 0)) for h in headers)]) for k, r in enumerate(rows))]
+    (folder / "a.csv").write_text("\n".join(lines) + "\n")
+    return str(folder)
+
+
+def test_csv_is_read_by_name(spark, tmp_path):
+    row = {h: k for k, h in enumerate(HEADERS)} | {"age": "40.0", "DebtRatio": "0.25"}
+    same = [io.read_applications_csv(spark, csv_file(tmp_path / name, headers, row)).first()
+            for name, headers in (("given", HEADERS), ("turned", HEADERS[::-1]))]
+    assert same[0] == same[1] and same[0]["age"] == 40 and same[0]["debt_ratio"] == 0.25
+    unlabelled = io.read_applications_csv(spark, csv_file(tmp_path / "new", HEADERS[1:], row)).first()
+    assert unlabelled["target"] is None and unlabelled["debt_ratio"] == 0.25
+
+
+@pytest.mark.parametrize("headers", [HEADERS[:-1], [*HEADERS, "extra"], [*HEADERS, "age"]])
+def test_csv_with_other_columns_is_refused(spark, tmp_path, headers):
+    with pytest.raises(ValueError, match="headers"):
+        io.read_applications_csv(spark, csv_file(tmp_path / "bad", headers, {}))
+
+
+def test_malformed_csv_rows_are_listed(spark, tmp_path):
+    path = csv_file(tmp_path / "bad", HEADERS, {"age": "forty", "DebtRatio": "x"}, {"age": "40.5"}, {"MonthlyIncome": "NA"})
+    got = {r["id"]: r["fields"] for r in io.malformed_applications(spark, path).collect()}
+    assert got == {"0": ["age", "debt_ratio"], "1": ["age"]}
+    rows = io.read_applications_csv(spark, path).orderBy("id").collect()
+    assert [r["age"] for r in rows] == [None, None, 0]
+
+
 def test_contract(spark):
     df = spark.createDataFrame([tuple(range(19))], ", ".join(f"`{c}` int" for c in FEATURE_COLS))
     check_contract(df)
