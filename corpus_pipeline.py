@@ -15,6 +15,8 @@ from riskspark.session import materialize
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Share of its words that a document's first language must have.
 LEAST_SHARE = 0.5
+#: A text with a word has something besides ASCII white space.
+WORDED = r"[^ \t\n\x0B\f\r]"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +34,20 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id."""
-    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
+    """One row of each group: the one with the smallest id, a null id being the largest; rows without words stay.
+
+    Rows are told by id and text, so null and repeated ids decide nothing about other rows. Rows with equal id and
+    text are one row before any join (partial minima, so copies leave a task as one).
+    """
+    rows = docs.select(COLUMNS).withColumn("_mark", F.xxhash64("text"))
+    worded = F.coalesce(F.col("text").rlike(WORDED), F.lit(False))
+    groups = neardup.near_duplicates(rows.where(worded).select("doc_id", "text", "_mark"), carry=["_mark"])
+    # A null id in a key of its own: null = null never matches.
+    null, least = F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id")
+    first = groups.groupBy("root").agg(F.min(F.struct(null, least, "_mark")).alias("_first")).select("_first.*")
+    own = ["_null", "_id", "_mark"]
+    single = rows.where(worded).select("*", null, least).groupBy(*own).agg(F.min(F.struct(*COLUMNS)).alias("_row"))
+    return single.join(first, own, "left_semi").select("_row.*").unionByName(rows.where(~worded).select(COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ classes in question are read again from the documents, not carried along.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -86,8 +86,8 @@ def signatures(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_shingles, set_id, keys, signature) of every row; without words 0, null, null, null.
+def sketch(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
+    """(key, carry, n_shingles, set_id, keys, signature) of every row; without words 0, null, null, null.
 
     `set_id` is a 64-bit hash of the whole set: equal for equal sets; two different sets share one by chance
     only once in 2^64 pairs. `keys` are the index keys, `signature` one byte of each symbol.
@@ -119,7 +119,7 @@ def sketch(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
         return compute
 
-    return map_texts(docs, make, "n_shingles long, set_id long, keys array<long>, signature binary", text, [key])
+    return map_texts(docs, make, "n_shingles long, set_id long, keys array<long>, signature binary", text, [key, *carry])
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], cols: list[str]) -> Iterator[pa.Table]:
@@ -378,14 +378,16 @@ def open_members(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return labelled.join(keys, "key")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_shingles, component_id, kept, set_id) of every row.
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
+    """(key, carry, n_shingles, component_id, kept, set_id, root) of every row.
 
     Rows without words are alone: `component_id` is their own key. `component_id` is the smallest key of the
     component, `kept` whether it is the row's own; repeated rows have the same answer. A null key takes part
-    with its text; its component is the smallest key that isn't null, if there is one. Other columns don't matter.
+    with its text; its component is the smallest key that isn't null, if there is one. `root` is
+    the smallest set_id of the component, null without words: unlike `component_id` it tells components apart when
+    ids are null or repeat. Of the other columns those in `carry` are kept.
     """
-    sketches = materialize(sketch(docs, text, key), "sketches")
+    sketches = materialize(sketch(docs, text, key, carry), "sketches")
     rows = sketches.where("set_id is not null")
     classes = materialize(
         rows.groupBy("set_id").agg(F.min(key).alias("first_doc"), F.first("keys").alias("keys"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes"
@@ -405,9 +407,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     roots = materialize(components(links), "roots")
     firsts = classes.select("set_id", "first_doc").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     smallest = firsts.groupBy("root").agg(F.min("first_doc").alias("_component"))
-    of_set = firsts.join(smallest, "root").select("set_id", "_component")
-    found = sketches.select(key, "n_shingles", "set_id").join(of_set, "set_id", "left").withColumn("component_id", F.coalesce("_component", key))
-    return found.select(key, "n_shingles", "component_id", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)).alias("kept"), "set_id")
+    of_set = firsts.join(smallest, "root").select("set_id", "_component", "root")
+    found = sketches.select(key, *carry, "n_shingles", "set_id").join(of_set, "set_id", "left").withColumn("component_id", F.coalesce("_component", key))
+    return found.select(key, *carry, "n_shingles", "component_id", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)).alias("kept"), "set_id", "root")
 
 
 def duplicate_groups(docs: DataFrame) -> DataFrame:

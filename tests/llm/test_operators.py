@@ -296,6 +296,24 @@ def test_pipeline_stages_keep_clean_documents(spark, sf, docs):
     assert packed.select("doc_id").distinct().count() == kept.count()
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    same, near, other = (" ".join(f"{w}{k}" for k in range(40)) for w in ("s", "n", "o"))
+    rows = [(None, same)] * 6 + [(None, None)] * 2 + [(3, " \n\t")] * 2  # null ids; no words
+    rows += [(5, near)] * 3 + [(5, near + " x"), (6, near)]  # repeated rows, and a near copy with the same id
+    rows += [(1, other), (2, other + " y"), (2, "clean words of a row"), (4, "clean words of a row")]  # an id with two texts
+    rows += [(8, "left text one"), (8, "right text two")]  # groups with one smallest id
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en" if k % 2 else None, "h", 1) for k, (i, t) in enumerate(rows)], schema)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(4), "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    kept = sorted(map(str, [(r["doc_id"], r["text"]) for r in got.collect()]))
+    fixed = [(None, same), (None, None), (None, None), (3, " \n\t"), (3, " \n\t"), (1, other), (2, "clean words of a row"), (8, "left text one"), (8, "right text two")]
+    rest = [x for x in kept if x not in set(map(str, fixed))]
+    assert sorted(x for x in kept if x not in rest) == sorted(map(str, fixed))
+    assert len(rest) == 1 and rest[0] in {str((5, near)), str((5, near + " x"))}
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def test_queries_are_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
     assert Path(corpus_pipeline.__file__).name == "corpus_pipeline.py" and len(corpus_pipeline.STAGES) == 4
