@@ -1,7 +1,7 @@
 """Homomorphic multiset fingerprints of documents, by DataFrame functions alone.
 
 A paragraph (line) has a wide vector: four 32-bit lanes hashed from the paragraph, and LANES small lanes that
-count the hash bits of its clauses. A document's vector is the sum over its paragraphs, 32-bit lanes modulo
+count the hash bits of its word runs, cut by content every few words. A document's vector is the sum over its paragraphs, 32-bit lanes modulo
 2^32 and small ones modulo 2^16: the order of paragraphs doesn't matter, and a paragraph is inserted or deleted
 by adding or subtracting its vector. Equal multisets have equal fingerprints. The small lanes, read as sums of
 random signs, estimate how far two multisets are apart, so two fingerprints tell their likeness.
@@ -18,21 +18,44 @@ SHIFTS, HASHES = 31, 2
 LANES = 2 * SHIFTS * HASHES
 WIDE = 4
 CELLS, RANGE_ROWS = 1 << 14, 2_000
-#: A sign before white space ends a clause.
-CLAUSE = r"(?<=[^\p{L}\p{N}\s])\s+"
+#: A word of a script with blanks (long ones in parts, a capital begins a new one), a number, or any other character
+#: alone, each with the signs behind it.
+_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+WORD = rf"(?:\p{{Lu}}?[\p{{L}}\p{{M}}&&[^\p{{Lu}}{_ALONE}]]{{1,24}}|\p{{N}}{{1,8}}|\S)[^\p{{L}}\p{{M}}\p{{N}}\s]{{0,8}}"
+#: One word in CUT ends a run, by its hash; a run has at most RUN words.
+CUT, RUN = 3, 6
 _LOW32, _LOW16, _PAIR = 0xFFFFFFFF, 0xFFFF, 1 | 1 << 31
 
 
+def run_hashes(paragraph: Column) -> Column:
+    """A hash of every word run of a paragraph, in order, each with the word before it; one of no words if it has none."""
+    let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  evaluated once, not once an element
+    upto = lambda at, i, words: F.coalesce(F.get(at, i + 1), F.size(words))
+
+    def ends(words: Column) -> Column:
+        marked = F.transform(words, lambda w, i: F.when(F.pmod(F.xxhash64(F.lit(99), w), F.lit(CUT)) == 0, i + 1))
+        return F.concat(F.array(F.lit(0)), F.filter(marked, lambda e: e < F.size(words)))
+
+    def starts(words: Column) -> Column:
+        return let(ends(words), lambda at: F.flatten(F.transform(at, lambda a, i: F.sequence(a, F.greatest(a, upto(at, i, words) - 1), F.lit(RUN)))))
+
+    def hashes(words: Column) -> Column:
+        return let(starts(words), lambda at: F.transform(at, lambda a, i: F.xxhash64(F.lit(100), F.slice(words, F.greatest(a, F.lit(1)), upto(at, i, words) - F.greatest(a - 1, F.lit(0))))))
+
+    return let(F.regexp_extract_all(paragraph, F.lit(WORD), F.lit(0)), hashes)
+
+
 def lane_sums(units: DataFrame, by: list[str], text: str) -> DataFrame:
-    """One row per `by` with `wide` (32-bit lanes), `lanes` (small lanes) and `clauses`, summed over paragraphs.
+    """One row per `by` with `wide` (32-bit lanes), `lanes` (small lanes) and `clauses` (word runs), summed over paragraphs.
 
     Sums are partial first, so rows of a long text leave a task as one. No lane can overflow: a text has fewer
-    than 2^31 clauses.
+    than 2^31 runs.
     """
     paragraphs = units.select(*by, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("_p"))
-    clauses = paragraphs.select(*by, "_p", F.posexplode(F.split("_p", CLAUSE)).alias("_i", "_c")).select(
+    paragraphs = paragraphs.select(*by, *[F.xxhash64(F.lit(k), F.col("_p")).alias(f"_x{k}") for k in range(WIDE // 2)], run_hashes(F.col("_p")).alias("_runs"))
+    clauses = paragraphs.select("*", F.posexplode_outer("_runs").alias("_i", "_c")).select(
         *by,
-        *[F.when(F.col("_i") == 0, F.xxhash64(F.lit(k), F.col("_p"))).otherwise(F.lit(0).cast("long")).alias(f"_w{k}") for k in range(WIDE // 2)],
+        *[F.when(F.col("_i") == 0, F.col(f"_x{k}")).otherwise(F.lit(0).cast("long")).alias(f"_w{k}") for k in range(WIDE // 2)],
         *[F.xxhash64(F.lit(100 + k), F.col("_c")).alias(f"_h{k}") for k in range(HASHES)],
     )
     wide = [x for k in range(WIDE // 2) for x in (F.col(f"_w{k}").bitwiseAND(_LOW32), F.shiftrightunsigned(f"_w{k}", 32))]

@@ -185,6 +185,32 @@ def test_fingerprints_ignore_paragraph_order_and_odd_rows(spark, odd):
     assert fingerprints.document_fingerprints(odd.limit(0)).count() == 0
 
 
+def test_fingerprints_of_texts_of_one_line_without_signs(spark):
+    rng = np.random.default_rng(12)
+    make = {
+        "words": lambda: " ".join(f"{a}{b}" for a, b in zip(rng.choice(WORDS, 200), rng.choice(WORDS, 200))),
+        "han": lambda: "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 3_000, 400)),
+        "mixed case": lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), 800)),
+        "table": lambda: ",".join(str(x) for x in rng.integers(0, 10**6, 150)),
+    }
+    df = spark.createDataFrame([(100 * k + i, text()) for k, text in enumerate(make.values()) for i in range(12)], "doc_id long, text string")
+    got = fingerprints.document_fingerprints(df).collect()
+    for k, name in enumerate(make):
+        own = [r for r in got if r["doc_id"] // 100 == k and r["doc_id"] % 100 < 11]  # the twelfth's next is of another kind
+        # Three quarters of the runs are shared: 0.75 of both sets' sizes, give or take the lanes' noise.
+        assert len(own) == 11 and 0.6 < np.mean([r["near_edited"] for r in own]) < 0.9 and min(r["near_edited"] for r in own) > 0.4, name
+        assert np.mean([r["near_next"] for r in own]) < 0.3, name
+
+
+def test_runs_are_content_defined(spark):
+    rng = np.random.default_rng(13)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 600))
+    df = spark.createDataFrame([(0, text), (1, "two more " + text), (2, "a b c d e f g h i j k l m n o p q r"), (3, "")], "i long, t string")
+    runs = {r["i"]: r["h"] for r in df.select("i", fingerprints.run_hashes(F.col("t")).alias("h")).collect()}
+    assert len(set(runs[0]) & set(runs[1])) > 0.97 * len(runs[0]) and 150 < len(runs[0]) < 900
+    assert len(runs[2]) >= 3 and len(runs[3]) == 1
+
+
 def test_languages_hold_out(docs, odd):
     got = langid.language_predictions(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97
