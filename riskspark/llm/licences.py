@@ -7,8 +7,9 @@ template, the class `unknown`. A held-out part of both sets the probability from
 lowest that keeps CALIBRATED of the believed held-out paragraphs right; all others are `unknown`. A believed
 family is confirmed by the closest of its templates.
 
-A paragraph without a telling word has no feature and so the score of an empty one, `unknown`: those with one are
-written out as candidates and scored by joins with the weights. All of it is DataFrame functions and Spark's own
+A paragraph without a feature has the score of an empty one, `unknown`. Every feature holds a pair that is a feature
+(two neighbouring words, one of them telling), so the paragraphs with such a pair are written out as candidates and
+scored by joins with the weights: `the mit` counts, while German `mit` or a lone `by` makes no candidate. All of it is DataFrame functions and Spark's own
 learner.
 """
 
@@ -50,9 +51,9 @@ TEMPLATES = [
 ]
 
 
-#: Words of the templates that any text may hold (`mit` is a German word too); no feature is made of them alone.
-COMMON = set("a all and any are as at be been binary by can copy except file files following for form free has have in is it "
-             "may met mit not obtain of or person program project redistribute source subject terms that the this to under use v version "
+#: Words of the templates that any text may hold; no feature is made of them alone.
+COMMON = set("a all and any are as at be been binary can copy except file files following for form free has have in is it "
+             "may met not obtain of or person program project redistribute source subject terms that the this to under use v version "
              "with without work you 0 1 2 3 4".split())
 
 
@@ -68,6 +69,11 @@ def ngrams(words: Column) -> Column:
     return F.array_distinct(F.concat(*[F.when(n >= k, of(k)).otherwise(F.array().cast("array<string>")) for k in (2, 3)]))
 
 
+def neighbours(words: Column) -> Column:
+    """Pairs of neighbouring words; a last word's is with the empty word."""
+    return F.transform(words, lambda w, i: F.concat_ws(" ", w, F.coalesce(F.get(words, i + 1), F.lit(""))))
+
+
 @dataclass(frozen=True)
 class LicenceModel:
     """`weights[term][family]`, intercepts, the believed probability; the templates bound all sizes."""
@@ -160,10 +166,11 @@ def scan(docs: DataFrame, model: LicenceModel, text: str = "text", key: str = "d
     """
     spark = docs.sparkSession
     known = templates(spark)
-    gate, _ = telling(known)
+    gate, terms = telling(known)
+    pairs = [t for t in terms if t.count(" ") == 1]
     lines = docs.where(F.length(text) > 0).select(F.col(key).alias("_key"), F.posexplode(F.split(text, "\n")).alias("paragraph", "line"))
     words = lines.where(F.length("line") > 0).select("_key", "paragraph", words_of(F.col("line")).alias("words"))
-    some = words.where(F.arrays_overlap("words", F.lit(gate))).withColumn("id", F.monotonically_increasing_id())
+    some = words.where(F.arrays_overlap("words", F.lit(gate))).where(F.arrays_overlap(neighbours(F.col("words")), F.lit(pairs))).withColumn("id", F.monotonically_increasing_id())
     some = materialize(some, "licence-candidates")
     some = materialize(some.select("id", "_key", "paragraph", ngrams(F.col("words")).alias("grams")), "licence-grams")
     weights = spark.createDataFrame(list(zip(model.terms, model.weights)), "gram string, w array<double>")

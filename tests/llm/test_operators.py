@@ -1,5 +1,6 @@
 """Every text operator against brute force, exact round trips or held-out labels, on small and on odd tables."""
 
+import dataclasses
 import hashlib
 import zlib
 from pathlib import Path
@@ -282,6 +283,17 @@ def test_licence_lines_are_found_and_nothing_else(spark, docs, odd):
     assert licences.scan(odd, model).count() == 0
 
 
+def test_paraphrased_licence_notices_are_scored(spark, docs):
+    lines = ["Distributed under the MIT licence", "Available under the MIT terms", "Use it under CC BY 4.0 only", "er kam mit der Bahn", "written by hand"]
+    model = licences.fit(docs)
+    assert {"the mit", "under the mit", "by 4 0"} <= set(model.terms)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    # Whether they are scored at all, whatever the class `unknown` and the believed probability say.
+    open_model = dataclasses.replace(model, believed=0.0, intercepts=[-100.0, *model.intercepts[1:]])
+    got = {r["doc_id"]: r["family"] for r in licences.scan(df, open_model).collect()}
+    assert got == {0: "mit", 1: "mit", 2: "cc-by-4.0"}
+
+
 def test_perspectives_equal_sql_and_odd_rows(spark, sf):
     turns = spark.createDataFrame(
         [(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 1, "ann", "hi"), (1, None, None, None), (1, 70, "bob", "yo"), (2, 0, "system", "x"), (None, 0, "ann", "")],
