@@ -1,6 +1,6 @@
 """Document quality by hierarchical empirical Bayes over hosts and paths.
 
-A logistic model over the shapes of a text's runs, its repetition and its size, trained by numpy on a bounded
+A logistic model over the shapes of a text's runs (long ones in bounded pieces, all of them counted), its repetition and its size, trained by numpy on a bounded
 sample of labelled texts, gives each document's evidence. Grouped aggregation then sums evidence (the label
 where there is one, else the model's probability) by path and by host. A host's rate is shrunk toward the
 global rate and a path's toward its host's, by as many pseudo-documents as the spread between the sites
@@ -30,28 +30,65 @@ SAMPLE_ROWS = 10_000
 STEPS, RIDGE = 25, 1.0
 SALT = 32
 RUN_BYTES = 60 << 20
+#: Runs up to so many characters are remembered with their pieces.
+SHORT = 24
 _TWICE = re.compile(r"(.)\1+")
+#: A piece: up to four groups of one symbol, of 16 characters each.
+_PIECE = re.compile(r"(?:(.)\1{0,15}){1,4}", re.DOTALL)
 
 
-def shape(run: str) -> int:
-    """Hashed pattern of capitals, small letters, digits and signs of a run; repeats count once."""
-    s = run[:64]
-    if s.isascii() and s.islower() and s.isalpha():
+def pattern(s: str) -> str:
+    return "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in s)
+
+
+def pieces(run: str) -> list[str]:
+    """A run cut at Unicode white space and after every four symbols of its pattern; at most 64 characters each."""
+    if len(run) <= 16 and run.isascii() and run.islower() and run.isalpha():
+        return [run]
+    out = []
+    for part in [run] if run.isascii() else run.split():
+        out += [part[m.start() : m.end()] for m in _PIECE.finditer(pattern(part))]
+    return out
+
+
+def shape(piece: str) -> int:
+    """Hashed pattern of capitals, small letters, digits and signs of a piece; repeats count once."""
+    if piece.isascii() and piece.islower() and piece.isalpha():
         return 0
-    s = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in s)
-    return 1 + zlib.crc32(_TWICE.sub(r"\1", s)[:4].encode()) % (SHAPES - 1)
+    return 1 + zlib.crc32(_TWICE.sub(r"\1", pattern(piece))[:4].encode()) % (SHAPES - 1)
+
+
+def pieces_of(texts: list[bytes], kept: Kept) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """((shape, length) of each different piece, the piece at each place of all texts end to end, where each text begins)."""
+    runs, codes, edges = runs_of(texts)
+    short = [r for r in runs if len(r) <= SHORT]
+    known = dict(zip(short, kept.all(short, lambda new: [[(x, shape(x)) for x in pieces(r)] for r in new], 500)))
+    number, shapes, flat, count = {}, [], [], []
+    for r in runs:
+        found = known[r] if r in known else [(x, None) for x in pieces(r)]
+        for x, s in found:
+            at = number.setdefault(x, len(number))
+            if at == len(shapes):
+                shapes.append((shape(x) if s is None else s, len(x)))
+            flat.append(at)
+        count.append(len(found))
+    count = np.array(count, np.int64)
+    first = np.cumsum(count) - count
+    each = count[codes]
+    upto = np.concatenate(([0], np.cumsum(each)))
+    places = np.arange(upto[-1]) + np.repeat(first[codes] - upto[:-1], each)
+    return np.array(shapes, np.int64).reshape(-1, 2), np.array(flat, np.int64)[places], upto[edges]
 
 
 def text_signals(texts: list[bytes], kept: Kept) -> np.ndarray:
     """A row of SHAPES + 5 numbers for each text; zeros for an empty one."""
-    runs, codes, edges = runs_of(texts)
+    shapes, codes, edges = pieces_of(texts, kept)
     n = len(texts)
     out = np.zeros((n, SHAPES + 5))
     total = np.diff(edges)
     if not len(codes):
         return out
     of = np.repeat(np.arange(n), total)
-    shapes = np.array(kept.all(runs, lambda new: [(shape(r), len(r)) for r in new], 170), np.int64).reshape(-1, 2)
     some = np.maximum(total, 1)
     hist = np.bincount(of * SHAPES + shapes[codes, 0], minlength=n * SHAPES).reshape(n, SHAPES)
     out[:, :SHAPES] = np.sqrt(hist / some[:, None])

@@ -254,6 +254,20 @@ def test_quality_and_shrinkage(spark, sf, docs, odd):
     assert quality.quality_scores(odd.limit(0), labels.limit(0)).count() == 0
 
 
+def test_quality_signals_come_from_the_whole_text():
+    rng = np.random.default_rng(14)
+    head = "漢" * 64
+    han = lambda n: "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 3_000, n))
+    tails = [han(936), "字" * 936, ("語1!X" * 234), "".join(rng.choice(list("aB3+"), 936)), "字\u3000" * 468]
+    found = quality.text_signals([(head + t).encode() for t in tails], quality.Kept(quality.RUN_BYTES))
+    assert len({tuple(x) for x in found.round(9).tolist()}) == len(tails)
+    again = quality.text_signals([(head + t).encode() for t in tails], quality.Kept(100))
+    assert np.allclose(found, again)
+    for run in (head + tails[2], head + tails[3], "word", "a" * 1_000, "x\u00a0y", "\u3000"):
+        parts = quality.pieces(run)
+        assert "".join(parts) == "".join(run.split()) and all(0 < len(x) <= 64 for x in parts)
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(900, 12)) * rng.random((900, 1))
