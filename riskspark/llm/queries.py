@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskspark.llm import bpe, chat, fingerprints, langid, licences, neardup, packing, quality, topk, toxicity
+from riskspark.llm import (
+    bpe, chat, fingerprints, langid, lexical, licences, neardup, packing, quality, suffixes, topk, toxicity, whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,12 +57,24 @@ def op10_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.duplicate_groups(documents(spark, sf))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.repeat_digests(documents(spark, sf))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.embedding_whitening(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+def op13_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.top_documents(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_chat_perspectives, op2_licences, op3_best_fit_packing, op4_fingerprints, op5_quality, op6_bpe, op7_language_id,
-        op8_exact_top_k, op9_toxicity, op10_near_duplicates,
+        op8_exact_top_k, op9_toxicity, op10_near_duplicates, op11_suffix_dedup, op12_embedding_whitening, op13_lexical_search,
     )
 }
-#: The dialogue has SQL; the others are tested against brute force, exact round trips or held-out labels.
-ORACLE_SQL: dict[str, str] = {"op1_chat_perspectives": chat.SQL}
+#: The others are tested against brute force, exact round trips or held-out labels.
+ORACLE_SQL: dict[str, str] = {"op1_chat_perspectives": chat.SQL, "op11_suffix_dedup": suffixes.SQL, "op13_lexical_search": lexical.SQL}
