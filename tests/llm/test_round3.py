@@ -256,11 +256,9 @@ def test_search_skips_most_documents():
         place.append(at)
         impact.append(rng.integers(1, 50, len(at)))
     place, impact = np.concatenate(place), np.concatenate(impact)
-    chosen = rng.choice(n, 10, replace=False)
-    for t in range(12):
-        terms += [b"big"]
-    place, impact = np.concatenate((place, chosen, chosen[:2])), np.concatenate((impact, np.full(12, 1_000)))
-    index = lexical.Postings(pa.array(terms, pa.binary()), place[: len(terms)], impact[: len(terms)])
+    chosen = np.sort(rng.choice(n, 10, replace=False))
+    terms += [b"big"] * 10
+    index = lexical.Postings(pa.array(terms, pa.binary()), np.concatenate([*place, chosen]), np.concatenate([*impact, np.full(10, 1_000)]))
     search = lexical.Search(index, [(b"t%d" % t, 1) for t in range(12)] + [(b"big", 10)], 10, 64)
     seen = []
     score_all = search.score_all
