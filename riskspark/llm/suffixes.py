@@ -31,7 +31,7 @@ WIDTH = 50
 GRAM = 16
 SEGMENT = 1 << 20
 #: A rank pair is common if as many texts of one slice, and as many or this share of all anchors over all, have it.
-COMMON_HERE, COMMON_ROWS, COMMON_SHARE = 4, 256, 1 << 18
+COMMON_HERE, COMMON_ROWS, COMMON_SHARE = 4, 4_096, 1 << 18
 NO_ID = (1 << 63) - 1
 _C = np.uint64(0x9E3779B97F4A7C15)
 _D = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -55,8 +55,8 @@ def ranked(b: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     for step in (1, 2, 4):  # eight bytes are their own rank
         r[: len(r) - step] |= r[step:] << np.uint64(8 * step)
     r = mixed(r * _C)
-    pair = r & np.uint64(0xFFFFFFFF00000000)
-    pair[: len(r) - 8] |= r[8:] >> np.uint64(32)
+    pair = (r >> np.uint64(40)) << np.uint64(24)  # two names of 24 bits: more would only make the sorted rows wider
+    pair[: len(r) - 8] |= r[8:] >> np.uint64(40)
     size = 8
     while 2 * size <= width:
         r, size = paired(r, size), 2 * size
@@ -154,29 +154,40 @@ def common_pairs(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def sorted_anchors(docs: DataFrame, common: np.ndarray, width: int) -> DataFrame:
-    """(t, n, places): for each text the anchors, by their first place, whose rank pair another text has too.
+    """(t, n, pairs): for each text the rank pairs of its anchors that another text has too.
 
     Spark sorts the pairs; those of one text only leave. Common pairs are known and not sorted.
     """
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_py() for x in batch.column(2)]
             t, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for s in sliced(texts, width):
+            for s in sliced([x.as_py() for x in batch.column(2)], width):
                 one = firsts(s.text, s.key)
-                one = one[~among(s.key[one], common)]
+                one = np.sort(one[~among(s.key[one], common)])
                 i = s.text[one]
-                at = (n[i].astype(np.int64) << 32) | (s.a + s.shift[s.seg])[one]
-                yield pa.RecordBatch.from_arrays([pa.array(s.key[one]), pa.array(t[i]), pa.array(at)], names=["k", "t", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.key[one]), pa.array(t[i]), pa.array(n[i], pa.int32())], names=["k", "t", "n"])
 
-    rows = docs.select("t", "n", "body").mapInArrow(anchors, "k long, t long, at long")
-    n = F.shiftright("at", 32).cast("int")
+    rows = docs.select("t", "n", "body").mapInArrow(anchors, "k long, t long, n int")
     same = Window.partitionBy("k")
-    shared = (F.min("t").over(same) < F.max("t").over(same)) | (F.min(n).over(same) < F.max(n).over(same))
-    place = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    kept = rows.withColumn("_shared", shared).where("_shared").select("t", n.alias("n"), place.alias("place"))
-    return kept.groupBy("t", "n").agg(F.collect_set("place").alias("places"))
+    shared = (F.min("t").over(same) < F.max("t").over(same)) | (F.min("n").over(same) < F.max("n").over(same))
+    kept = rows.withColumn("_shared", shared).where("_shared")
+    return kept.groupBy("t", "n").agg(F.collect_set("k").alias("pairs"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc, t, n, packed): documents whose text travels compressed."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            small = [pa.compress(x.as_py(), codec="zstd", asbytes=True) for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(small, pa.binary())], names=["doc", "t", "n", "packed"])
+
+    return docs.select("doc", "t", "n", "body").mapInArrow(pack, "doc long, t long, n int, packed binary")
+
+
+def unpacked(batch: pa.RecordBatch) -> list[bytes]:
+    return [pa.decompress(x.as_py(), decompressed_size=n, codec="zstd", asbytes=True) for x, n in zip(batch.column("packed"), batch.column("n").to_pylist())]
 
 
 STRINGS = "deal long, doc long, t long, n int, bytes binary, places array<int>"
@@ -254,23 +265,18 @@ def open_strings(texts: DataFrame, anchors: DataFrame, common: np.ndarray, width
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = [x.as_py() for x in batch.column(3)]
-            places = batch.column(4).to_pylist()
             t, n, doc = (batch.column(i).to_numpy() for i in range(3))
-            for s in sliced(bodies, width):
-                place = s.a + s.shift[s.seg]
-                mine = np.unique(s.text)
-                left = np.concatenate([np.zeros(0, np.int64), *((i << 32) | np.array(places[i], np.int64) for i in mine.tolist() if places[i])])
-                known = among((s.text << 32) | place, np.sort(left))
+            pairs = batch.column("pairs")
+            for s in sliced(unpacked(batch), width):
                 kept = among(s.key, common)
-                if known.any():  # every anchor of the text with the rank pair of a known one
-                    own = (s.text << 32) | np.unique(s.key, return_inverse=True)[1]
-                    kept |= among(own, np.unique(own[known]))
-                # A text of several segments may have named its first place in another one: all its anchors stay.
-                kept |= np.isin(s.text, [i for i in mine.tolist() if len(bodies[i]) > SEGMENT])
+                edges = np.flatnonzero(np.concatenate(([True], s.text[1:] != s.text[:-1], [True])))
+                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                    own = pairs[int(s.text[a])]
+                    if own.is_valid:
+                        kept[a:b] |= among(s.key[a:b], np.sort(own.values.to_numpy()))
                 yield from strings_of(s, kept, common, doc, t, n, width)
 
-    rows = texts.join(anchors, ["t", "n"], "left").select("t", "n", "doc", "body", "places")
+    rows = texts.join(anchors, ["t", "n"], "left").select("t", "n", "doc", "packed", "pairs")
     return rows.mapInArrow(cut, STRINGS)
 
 
@@ -357,8 +363,7 @@ def cut_out(texts: DataFrame, spans: DataFrame, width: int, digest: bool) -> Dat
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, runs, kept = [], [], []
-            for body, found in zip(batch.column(3), batch.column(4).to_pylist()):
-                body = body.as_py()
+            for body, found in zip(unpacked(batch), batch.column(4).to_pylist()):
                 pairs = np.array(found or [], np.int64).reshape(-1, 2)
                 pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
                 own = joined_spans(pairs[:, 0], pairs[:, 1])
@@ -373,7 +378,7 @@ def cut_out(texts: DataFrame, spans: DataFrame, width: int, digest: bool) -> Dat
             )
 
     whole = spans.groupBy("t", "n").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    rows = texts.join(whole, ["t", "n"], "left").select("t", "n", "doc", "body", "spans")
+    rows = texts.join(whole, ["t", "n"], "left").select("t", "n", "doc", "packed", "spans")
     return rows.mapInArrow(cut, "t long, n int, doc long, n_removed long, n_spans long, kept binary")
 
 
@@ -391,7 +396,7 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     )
     common = common_pairs(rows, width)
     long = F.col("n") >= width
-    texts = rows.where(long).groupBy("t", "n").agg(F.min("doc").alias("doc"), F.first("body").alias("body"))
+    texts = packed(rows.where(long)).groupBy("t", "n").agg(F.min("doc").alias("doc"), F.first("packed").alias("packed"))
     anchors = sorted_anchors(rows, common, width)
     spans = repeated_spans(open_strings(texts, anchors, common, width), width)
     found = cut_out(texts, spans, width, digest)

@@ -108,8 +108,9 @@ def test_suffix_removal_of_nothing(spark):
     assert [x[3:5] for x in removed(short)] == [(0, 0)] * 3
 
 
-def test_hot_passage_is_not_gathered(spark):
+def test_hot_passage_is_not_gathered(spark, monkeypatch):
     """A passage in a third of all documents: no group of strings that must stand in one task is near its size."""
+    monkeypatch.setattr(suffixes, "COMMON_ROWS", 256)
     rng = random.Random(5)
     passage = words(rng, 60, ["alpha", "beta", "gamma", "delta", "omega"])
     rows = [(i, f"{rng.random()} {rng.random()} " + (passage if i % 3 == 0 else "") + f" {rng.random()} {rng.random()} {rng.random()}") for i in range(6_000)]
@@ -118,7 +119,7 @@ def test_hot_passage_is_not_gathered(spark):
         "doc", F.xxhash64("body").alias("t"), F.octet_length("body").alias("n"), "body")
     common = suffixes.common_pairs(base, 50)
     assert 10 < len(common) < 2_000
-    strings = suffixes.open_strings(base, suffixes.sorted_anchors(base, common, 50), common, 50)
+    strings = suffixes.open_strings(suffixes.packed(base), suffixes.sorted_anchors(base, common, 50), common, 50)
     most = strings.where("bytes is not null").groupBy("deal").count().agg(F.max("count")).first()[0]
     assert most < suffixes.COMMON_ROWS  # a pair of fewer texts is not common
     assert removed(df) == expected(rows)
@@ -255,7 +256,6 @@ def test_search_skips_most_documents():
         terms += [b"t%d" % t] * len(at)
         place.append(at)
         impact.append(rng.integers(1, 50, len(at)))
-    place, impact = np.concatenate(place), np.concatenate(impact)
     chosen = np.sort(rng.choice(n, 10, replace=False))
     terms += [b"big"] * 10
     index = lexical.Postings(pa.array(terms, pa.binary()), np.concatenate([*place, chosen]), np.concatenate([*impact, np.full(10, 1_000)]))
