@@ -56,14 +56,12 @@ def bin_age_group(
     return df.withColumn("age_group", F.get(F.array(*[F.lit(n) for n in labels]), code))
 
 
-def group_median(
-    df: DataFrame, by: str = "age_group", col: str = "monthly_income", rows: int | None = None
-) -> DataFrame:
-    return quantiles(df, [col], [0.5], by=[by], rows=rows).select(by, F.col("value").alias("median"))
+def group_median(df: DataFrame, by: str = "age_group", col: str = "monthly_income") -> DataFrame:
+    return quantiles(df, [col], [0.5], by=[by]).select(by, F.col("value").alias("median"))
 
 
-def global_median(df: DataFrame, col: str = "monthly_income", rows: int | None = None) -> DataFrame:
-    return quantiles(df, [col], [0.5], rows=rows).select(F.col("value").alias("median"))
+def global_median(df: DataFrame, col: str = "monthly_income") -> DataFrame:
+    return quantiles(df, [col], [0.5]).select(F.col("value").alias("median"))
 
 
 def fit_income_medians(df: DataFrame) -> DataFrame:
@@ -72,10 +70,9 @@ def fit_income_medians(df: DataFrame) -> DataFrame:
     A group without any income takes the median of the whole table, so the frame is complete
     and applying it needs one lookup.
     """
-    rows = df.count()
     names = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, AGE_LABELS))).alias("age_group"))
-    overall = global_median(df, rows=rows).scalar()
-    return names.join(group_median(df, rows=rows), "age_group", "left").select(
+    overall = global_median(df).scalar()
+    return names.join(group_median(df), "age_group", "left").select(
         "age_group", F.coalesce("median", overall).alias("income_median")
     )
 

@@ -1,187 +1,168 @@
-"""Exact, linearly interpolated quantiles.
-
-Two exact routes, chosen by a counted size:
-
-* up to `exact_values` values, the built-in `percentile` (its value map then has a known bound);
-* above it, narrowing: mergeable sketches propose values around each wanted rank, a counting pass
-  says between which of them the rank lies, and this repeats until the open interval holds few
-  enough rows to be ordered. Rows are never shuffled: both passes are map-side aggregations to a
-  few rows per column. A sketch only proposes, so the result is exact whatever its error.
+"""Exact, linearly interpolated quantiles, by one route at every size.
+
+Every wanted order statistic is a row of a table: its group, column and rank, the open interval known to hold
+it, how many values lie at or below the interval's lower end, and how many inside. A round narrows the intervals
+that hold more than `order_rows` values: a mergeable sketch of each interval proposes two values around the rank, a
+counting pass decides on which side of them, between them or at which of them the rank lies. What is left in an
+interval is counted by value and ordered there. Both passes are map-side aggregations joined with the table of
+ranks, which is written after each round; groups are rows, not literals, so their number isn't bounded, and
+a value that many rows share is one row. A sketch only proposes, so the result is exact whatever its error.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-EXACT_VALUES = 8_000_000
-ORDER_ROWS = 200_000
-MAX_GROUPS = 1_000
-GRID = 512
+from riskspark.session import materialize
+
+#: An interval with at most so many values is ordered, a larger one is narrowed.
+ORDER_ROWS = 1_000
+GRID = 256
 
 
 def quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    rows: int | None = None,
-    exact_values: int = EXACT_VALUES,
-    order_rows: int = ORDER_ROWS,
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), order_rows: int = ORDER_ROWS
 ) -> DataFrame:
-    """Long frame `(by..., feature, p, value)`; nulls are skipped, an all-null column gives null.
+    """Long frame `(by..., feature, p, value)`; an all-null column gives null, a null group is a group.
 
-    `rows` is the size of `df` where the caller already counted it.
+    Nulls and NaN are skipped. Infinities are values; between an infinity and another value lies the lower
+    infinity, else the upper one.
     """
-    df = df.select(*by, *cols)
-    if (df.count() if rows is None else rows) * len(cols) > exact_values:
-        return _narrowed(df, cols, probs, by, order_rows)
-    return _long(df.groupBy(*by).agg(*[F.percentile(c, list(probs)).alias(c) for c in cols]), cols, probs, by)
+    spark = df.sparkSession
+    keys = [f"_by{i}" for i in range(len(by))]
+    pairs = [F.struct(F.lit(c).alias("feature"), F.nanvl(F.col(c).cast("double"), F.lit(None)).alias("x")) for c in cols]
+    values = materialize(
+        df.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.inline(F.array(*pairs))), "quantile-values"
+    )
+    series = [*keys, "feature"]
+    sizes = values.groupBy(*series).agg(F.count("x").alias("n"))
+    if not by:  # a table without rows has its columns all the same
+        named = spark.createDataFrame([(c,) for c in cols], "feature string")
+        sizes = named.join(sizes, "feature", "left").select("feature", F.coalesce("n", F.lit(0)).alias("n"))
+    sizes = materialize(sizes, "quantile-sizes")
+
+    place = F.struct(*[F.lit(None).cast("double").alias(c) for c in ("low", "high")])
+    state = sizes.where("n > 0").select(
+        *series, F.explode(_ranks(probs)).alias("rank"), place["low"].alias("low"), place["high"].alias("high"),
+        F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inside"), F.lit(None).cast("double").alias("value"),
+    )
+    largest = sizes.agg(F.max("n").alias("most")).first()["most"] or 0
+    while largest > order_rows:
+        open_ = F.col("value").isNull() & (F.col("inside") > order_rows)
+        narrowed = _located(values, _proposed(values, state.where(open_), series), series)
+        state = materialize(state.where(~open_).unionByName(narrowed), "quantile-ranks")
+        largest = state.where("value is null").agg(F.max("inside").alias("most")).first()["most"] or 0
+    found = state.where("value is not null").select(*series, "rank", "value").unionByName(
+        _ordered(values, state.where("value is null"), series)
+    )
+    return _interpolated(sizes, found, series, probs).select(
+        *[F.col(k).alias(b) for b, k in zip(by, keys)], "feature", "p", "value"
+    )
 
 
-def _long(wide: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
-    points = [
-        F.struct(F.lit(c).alias("feature"), F.lit(float(p)).alias("p"),
-                 F.get(F.col(c), F.lit(i)).cast("double").alias("value"))
-        for c in cols for i, p in enumerate(probs)
-    ]
-    return wide.select(*by, F.inline(F.array(*points)))
+def _position(p: float) -> Column:
+    return F.lit(float(p)) * (F.col("n") - 1)
 
 
-def approx_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), accuracy: int = 10_000
-) -> DataFrame:
-    """Same shape as `quantiles`, one sketch pass; returns elements, not interpolated values."""
-    wide = df.groupBy(*by).agg(*[F.percentile_approx(c, list(probs), accuracy).alias(c) for c in cols])
-    return _long(wide, cols, probs, by)
-
-
-@dataclass
-class _Rank:
-    """One wanted order statistic of a (group, column) and the open interval known to hold it."""
-
-    group: tuple
-    col: str
-    rank: int
-    inside: int
-    below: int = 0
-    low: float = -math.inf
-    high: float = math.inf
-    value: float | None = None
-
-    @property
-    def interval(self) -> tuple:
-        return self.group, self.col, self.low, self.high
-
-
-def _narrowed(df, cols, probs, by, order_rows) -> DataFrame:
-    sizes = df.groupBy(*by).agg(*[F.count(c).alias(c) for c in cols]).limit(MAX_GROUPS + 1).collect()
-    if len(sizes) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups: quantiles are meant for a few large groups")
-    counts = {(tuple(r[b] for b in by), c): r[c] for r in sizes for c in cols}
-    ranks = {
-        (g, c, k): _Rank(g, c, k, n) for (g, c), n in counts.items() if n for p in probs for k in _neighbours(n, p)
-    }
-    while wide := [r for r in ranks.values() if r.value is None and r.inside > order_rows]:
-        _locate(df, by, wide, _propose(df, by, wide))
-    _order_inside(df, by, [r for r in ranks.values() if r.value is None])
-
-    rows = []
-    for (g, c), n in counts.items():
-        for p in probs:
-            value = None
-            if n:
-                lo, hi = (ranks[g, c, k].value for k in _neighbours(n, p))
-                pos = p * (n - 1)
-                value = lo + (hi - lo) * (pos - math.floor(pos))
-            rows.append((*g, c, float(p), value))
-    schema = T.StructType(
-        [df.schema[b] for b in by]
-        + [T.StructField("feature", T.StringType(), False), T.StructField("p", T.DoubleType(), False),
-           T.StructField("value", T.DoubleType())]
-    )
-    return df.sparkSession.createDataFrame(rows, schema)
+def _ends(p: float) -> tuple[Column, Column]:
+    """The ranks, from 0, on both sides of a quantile."""
+    at = _position(p)
+    return F.floor(at).cast("bigint"), F.least(F.ceil(at).cast("bigint"), F.col("n") - 1)
 
 
-def _neighbours(n: int, p: float) -> tuple[int, int]:
-    pos = p * (n - 1)
-    return math.floor(pos), min(math.ceil(pos), n - 1)
+def _ranks(probs: Sequence[float]) -> Column:
+    return F.array_distinct(F.array(*[end for p in probs for end in _ends(p)]))
 
 
-def _in_group(by: Sequence[str], group: tuple) -> Column:
+def _same(a: str, b: str, cols: Sequence[str]) -> Column:
     cond = F.lit(True)
-    for b, v in zip(by, group):
-        cond = cond & F.col(b).eqNullSafe(F.lit(v))
+    for c in cols:
+        cond = cond & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
     return cond
 
 
-def _matching(df: DataFrame, by, intervals: Sequence[tuple], extra: Sequence[dict] | None = None) -> DataFrame:
-    """Rows `(i, x, extra...)` for every value x inside interval i."""
-    hits = []
-    for i, (group, col, low, high) in enumerate(intervals):
-        x = F.col(col).cast("double")
-        more = [F.lit(v).alias(k) for k, v in (extra[i] if extra else {}).items()]
-        hits.append(F.when(_in_group(by, group) & (x > low) & (x < high), F.struct(F.lit(i).alias("i"), x.alias("x"), *more)))
-    return df.select(F.explode(F.array(*hits)).alias("h")).where("h is not null").select("h.*")
+def _inside(values: DataFrame, rows: DataFrame, series: Sequence[str]) -> DataFrame:
+    """`rows` with every value x of their series in their open interval."""
+    x = F.col("v.x")
+    within = (F.col("r.low").isNull() | (x > F.col("r.low"))) & (F.col("r.high").isNull() | (x < F.col("r.high")))
+    return values.alias("v").join(rows.alias("r"), _same("v", "r", series) & x.isNotNull() & within).select("r.*", "v.x")
 
 
-def _propose(df: DataFrame, by, ranks: Sequence[_Rank]) -> dict[tuple, list[float]]:
-    """Per (group, column) the values between which its unresolved ranks are to be located."""
-    intervals = list(dict.fromkeys(r.interval for r in ranks))
-    grid = [i / GRID for i in range(GRID + 1)]
-    found = _matching(df, by, intervals).groupBy("i").agg(F.percentile_approx("x", grid, 4 * GRID).alias("v")).collect()
-    sketch = {intervals[r["i"]]: r["v"] for r in found}
-    proposed: dict[tuple, set[float]] = {}
-    for r in ranks:
-        at = int((r.rank - r.below) / r.inside * GRID)
-        ends = {sketch[r.interval][min(max(at + d, 0), GRID)] for d in (-1, 2)}
-        known = {v for v in (r.low, r.high) if math.isfinite(v)}
-        proposed.setdefault((r.group, r.col), set()).update(ends | known)
-    return {series: sorted(values) for series, values in proposed.items()}
+def _proposed(values: DataFrame, ranks: DataFrame, series: Sequence[str]) -> DataFrame:
+    """`ranks` with two values (a, b) of their interval, one on either side of the rank as far as a sketch knows."""
+    interval = [*series, "low", "high"]
+    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    sketch = _inside(values, ranks.select(*interval).distinct(), series).groupBy(*interval).agg(
+        F.percentile_approx("x", grid, 4 * GRID).alias("grid")
+    )
+    at = F.floor((F.col("rank") - F.col("below")) / F.col("inside") * GRID).cast("int")
+    return ranks.alias("s").join(sketch.alias("g"), _same("s", "g", interval)).select(
+        "s.*", F.get("grid", F.greatest(at - 1, F.lit(0))).alias("a"), F.get("grid", F.least(at + 2, F.lit(GRID))).alias("b")
+    )
 
 
-def _locate(df: DataFrame, by, ranks: Sequence[_Rank], proposed: dict[tuple, list[float]]) -> None:
-    """Count rows at and between the proposed values and move every rank to its place.
+def _located(values: DataFrame, ranks: DataFrame, series: Sequence[str]) -> DataFrame:
+    """Each rank at one of its two values, or in the open interval before, between or behind them."""
+    x, a, b = F.col("x"), F.col("a"), F.col("b")
+    counted = _inside(values, ranks.select(*series, "rank", "low", "high", "a", "b"), series).groupBy(*series, "rank").agg(
+        F.count_if(x < a).alias("n1"), F.count_if(x <= a).alias("n2"), F.count_if((x <= a) | (x < b)).alias("n3"), F.count_if((x <= a) | (x <= b)).alias("n4"),
+    )
+    r = F.col("rank") - F.col("below")
+    n1, n2, n3, n4 = (F.col(f"n{i}") for i in (1, 2, 3, 4))
+
+    def pick(before, at_a, between, at_b, behind) -> Column:
+        return F.when(r < n1, before).when(r < n2, at_a).when(r < n3, between).when(r < n4, at_b).otherwise(behind)
+
+    below, none = F.col("below"), F.lit(None).cast("double")
+    both = ranks.alias("s").join(counted.alias("c"), _same("s", "c", [*series, "rank"])).select("s.*", "n1", "n2", "n3", "n4")
+    return both.select(
+        *series, "rank", pick(F.col("low"), a, a, b, b).alias("low"), pick(a, a, b, b, F.col("high")).alias("high"),
+        (below + pick(F.lit(0), n1, n2, n3, n4)).alias("below"),
+        pick(n1, n2 - n1, n3 - n2, n4 - n3, F.col("inside") - n4).alias("inside"), pick(none, a, none, b, none).alias("value"),
+    )
 
-    Place 2i is the open interval after the i-th value, place 2i - 1 the i-th value itself.
-    """
-    series = list(proposed)
-    hits = []
-    for i, (group, col) in enumerate(series):
-        x = F.col(col).cast("double")
-        place = F.lit(0)
-        for v in proposed[group, col]:
-            place = place + (x >= v).cast("int") + (x > v).cast("int")
-        hits.append(F.when(_in_group(by, group) & x.isNotNull(), F.struct(F.lit(i).alias("i"), place.alias("place"))))
-    counted = df.select(F.explode(F.array(*hits)).alias("h")).where("h is not null").groupBy("h.i", "h.place").count()
-    tally: dict[tuple, dict[int, int]] = {}
-    for r in counted.collect():
-        tally.setdefault(series[r["i"]], {})[r["place"]] = r["count"]
-    for r in ranks:
-        values = [-math.inf, *proposed[r.group, r.col], math.inf]
-        seen = 0
-        for place, n in sorted(tally[r.group, r.col].items()):
-            if seen + n > r.rank:
-                break
-            seen += n
-        if place % 2:
-            r.value = values[(place + 1) // 2]
-        else:
-            r.low, r.high, r.below, r.inside = values[place // 2], values[place // 2 + 1], seen, n
-
-
-def _order_inside(df: DataFrame, by, ranks: Sequence[_Rank]) -> None:
-    """Order the few rows left in each open interval and read the rank off."""
-    if not ranks:
-        return
-    extra = [{"skip": r.rank - r.below} for r in ranks]
-    counted = _matching(df, by, [r.interval for r in ranks], extra).groupBy("i", "skip", "x").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("i").orderBy("x"))
-    found = counted.withColumn("upto", upto).where("upto > skip").groupBy("i").agg(F.min("x").alias("x")).collect()
-    for row in found:
-        ranks[row["i"]].value = row["x"]
+
+def _ordered(values: DataFrame, ranks: DataFrame, series: Sequence[str]) -> DataFrame:
+    """The values of ranks whose intervals hold few values: counted by value, then ordered."""
+    interval = [*series, "low", "high", "below"]
+    counted = _inside(values, ranks.select(*interval).distinct(), series).groupBy(*interval, "x").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*interval).orderBy("x"))
+    summed = counted.withColumn("upto", F.col("below") + upto)
+    return ranks.select(*interval, "rank").alias("s").join(
+        summed.alias("c"), _same("s", "c", interval) & (F.col("c.upto") > F.col("s.rank"))
+    ).groupBy(*[F.col(f"s.{c}") for c in series], "s.rank").agg(F.min("c.x").alias("value"))
+
+
+def _interpolated(sizes: DataFrame, found: DataFrame, series: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    points = F.inline(F.array(*[
+        F.struct(F.lit(float(p)).alias("p"), *[e.alias(n) for n, e in zip(("k0", "k1"), _ends(p))], (_position(p) - F.floor(_position(p))).alias("part"))
+        for p in probs
+    ]))
+    wanted = sizes.select(*series, "n", points)
+    for end in ("0", "1"):
+        other = found.select(*series, F.col("rank").alias("_k"), F.col("value").alias(f"x{end}"))
+        wanted = wanted.alias("w").join(
+            other.alias("f"), _same("w", "f", series) & (F.col(f"w.k{end}") == F.col("f._k")) & (F.col("w.n") > 0), "left"
+        ).select("w.*", f"f.x{end}")
+    lo, hi = F.col("x0"), F.col("x1")
+    inf = F.lit(float("inf"))
+    value = (
+        F.when((lo == hi) | (F.col("part") == 0) | (F.abs(lo) == inf), lo).when(F.abs(hi) == inf, hi)
+        .otherwise(lo + (hi - lo) * F.col("part"))
+    )
+    return wanted.withColumn("value", value)
+
+
+def approx_quantiles(
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), accuracy: int = 10_000
+) -> DataFrame:
+    """Same shape as `quantiles`, one sketch pass; returns elements, not interpolated values."""
+    wide = df.groupBy(*by).agg(*[F.percentile_approx(c, list(probs), accuracy).alias(c) for c in cols])
+    points = [
+        F.struct(F.lit(c).alias("feature"), F.lit(float(p)).alias("p"), F.get(F.col(c), F.lit(i)).cast("double").alias("value"))
+        for c in cols for i, p in enumerate(probs)
+    ]
+    return wide.select(*by, F.inline(F.array(*points)))

@@ -14,12 +14,12 @@ from riskspark.schema import FEATURE_COLS
 ZERO_RANGE = 10 * 2.220446049250313e-16
 
 
-def robust_scale_fit(train: DataFrame, cols: Sequence[str] = FEATURE_COLS, rows: int | None = None) -> DataFrame:
+def robust_scale_fit(train: DataFrame, cols: Sequence[str] = FEATURE_COLS) -> DataFrame:
     """`(feature, center, scale)`, one row per column, from the training rows only."""
     def at(p: float):
         return F.max(F.when(F.col("p") == p, F.col("value")))
 
-    return quantiles(train, cols, [0.25, 0.5, 0.75], rows=rows).groupBy("feature").agg(
+    return quantiles(train, cols, [0.25, 0.5, 0.75]).groupBy("feature").agg(
         at(0.5).alias("center"), (at(0.75) - at(0.25)).alias("scale")
     )
 

@@ -90,7 +90,7 @@ def test_threshold_file_fallback(spark, tmp_path):
 def test_narrowed_quantiles_equal_numpy(spark, sf, by):
     df = borrowers(spark, sf)
     cols, probs = ["age", "monthly_income", "late_90d", "revolving_utilization"], [0.0, 0.25, 0.5, 0.99, 1.0]
-    got = quantiles.quantiles(df, cols, probs, by, exact_values=0, order_rows=20).toPandas()
+    got = quantiles.quantiles(df, cols, probs, by, order_rows=20).toPandas()
     pdf = df.toPandas()
     for _, r in got.iterrows():
         part = pdf if not by else pdf[pdf["target"] == r["target"]]
@@ -100,11 +100,37 @@ def test_narrowed_quantiles_equal_numpy(spark, sf, by):
 
 def test_narrowing_survives_a_hot_value(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id") / 100).alias("x"))
-    got = quantiles.quantiles(df, ["x"], [.1, .3, .5, .9], exact_values=0, order_rows=1).toPandas()
+    got = quantiles.quantiles(df, ["x"], [.1, .3, .5, .9], order_rows=1).toPandas()
     x = df.toPandas()["x"]
     assert np.allclose(got.sort_values("p")["value"], np.quantile(x, [.1, .3, .5, .9]))
 
 
+def test_quantiles_of_many_groups(spark):
+    """5,000 groups and a null one, each by the same route; a small bound narrows the large ones."""
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 5_001 < 5_000, F.col("id") % 5_001).alias("g"), ((F.col("id") * 7_919) % 1_009 / 8).alias("x")
+    ).unionByName(spark.range(3_000).select(F.lit(1).cast("bigint").alias("g"), (F.col("id") / 7).alias("x")))
+    got = quantiles.quantiles(rows, ["x"], [0.25, 0.5], ["g"], order_rows=100).toPandas()
+    pdf = rows.toPandas()
+    want = pdf.groupby("g", dropna=False)["x"].quantile([0.25, 0.5]).reset_index()
+    assert len(got) == 2 * 5_001
+    both = got.assign(g=got["g"].fillna(-1)).merge(want.assign(g=want["g"].fillna(-1)), left_on=["g", "p"], right_on=["g", "level_1"])
+    assert len(both) == 2 * 5_001 and np.allclose(both["value"], both["x"])
+
+
+def test_quantiles_skip_nan_and_order_infinities(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(x, y, None) for x, y in zip([nan, -inf, 1.0, 2.0, None, 3.0, inf, nan, 4.0], [nan, None] * 4 + [nan])]
+    for bound in (1, 1_000):
+        got = quantiles.quantiles(spark.createDataFrame(rows, "x double, y double, z int"), ["x", "y", "z"], [0.0, 0.1, 0.5, 0.9, 1.0], order_rows=bound)
+        found = {(r["feature"], r["p"]): r["value"] for r in got.collect()}
+        assert [found["x", p] for p in (0.0, 0.1, 0.5, 0.9, 1.0)] == [-inf, -inf, 2.5, inf, inf]
+        assert [found[c, p] for c in "yz" for p in (0.0, 0.5, 1.0)] == [None] * 6
+    empty = spark.createDataFrame([], "x double, g int")
+    assert [tuple(r) for r in quantiles.quantiles(empty, ["x"], [0.5]).collect()] == [("x", 0.5, None)]
+    assert quantiles.quantiles(empty, ["x"], [0.5], ["g"]).collect() == []
+
+
 def test_zero_range_scales_by_one(spark):
     df = spark.createDataFrame([(0.0, float(i)) for i in range(9)] + [(5.0, 9.0)], "flat double, x double")
     params = scale.robust_scale_fit(df, ["flat", "x"])
