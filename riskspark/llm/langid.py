@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,21 @@ SAMPLE_ROWS = 3_000
 SMOOTHING = 0.5
 STEPS, PENALTY = 8, 2.0
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[^\w\n]|[\d_]")
-RUN_BYTES = 100 << 20
+RUN_BYTES = 48 << 20
+#: Cells (word kind of a document, language) worked on at once; a longer document is a block of its own.
+WORK_CELLS = 1 << 18
+
+
+@cache
+def not_letters() -> re.Pattern[str]:
+    """What isn't a letter: also the numbers that regular expressions count as word characters, such as halves and numerals."""
+    numbers = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha())
+    return re.compile(rf"[^\w\n]|[\d_{re.escape(numbers)}]")
 
 
 def trigrams(runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashed trigram, number of its run) for every letter; a letter's neighbours may be the word's edge."""
-    text = _NOT_LETTERS.sub(" ", "\n" + "\n".join(runs).lower() + "\n")
+    text = not_letters().sub(" ", "\n" + "\n".join(runs).lower() + "\n")
     c = np.frombuffer(text.encode("utf-32-le"), "<u4")
     run = np.cumsum(c == 10) - 1
     c = np.where(c == 10, 32, c).astype(np.uint32)
@@ -49,11 +58,13 @@ class LanguageModel:
     languages: tuple[str, ...]
     log_p: np.ndarray
 
-    def run_rows(self, runs: list[str]) -> list[np.ndarray]:
-        """For each run: log-likelihood per language, then its number of letters."""
+    def run_rows(self, runs: list[str]) -> list[bytes]:
+        """For each run, as float32: log-likelihood per language, then its number of letters."""
         grams, of = trigrams(runs)
         cols = [np.bincount(of, self.log_p[grams, k], len(runs)) for k in range(len(self.languages))]
-        return list(np.stack([*cols, np.bincount(of, minlength=len(runs))], axis=1).astype(np.float32))
+        rows = np.stack([*cols, np.bincount(of, minlength=len(runs))], axis=1).astype(np.float32).tobytes()
+        step = 4 * (len(self.languages) + 1)
+        return [rows[i : i + step] for i in range(0, len(rows), step)]
 
 
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
@@ -85,28 +96,36 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     return LanguageModel(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
 
 
-def mixtures(p: np.ndarray, starts: np.ndarray, sizes: np.ndarray, theta: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log-likelihoods of documents whose words, `p[word, language]`, lie end to end."""
-    of = np.repeat(np.arange(len(starts)), sizes)
+def mixtures(
+    p: np.ndarray, times: np.ndarray, starts: np.ndarray, kinds: np.ndarray, theta: np.ndarray, steps: int = STEPS
+) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions and log-likelihoods of documents. `p[kind, language]` are the likelihoods of a document's different
+    words, document after document (`starts`, `kinds` of them); each occurs `times`."""
+    of = np.repeat(np.arange(len(starts)), kinds)
+    words = np.add.reduceat(times, starts)[:, None]
+    w = np.empty_like(p)
     for _ in range(steps):
-        w = p * theta[of]
-        w /= w.sum(axis=1, keepdims=True)
-        theta = np.add.reduceat(w, starts, axis=0) / sizes[:, None]
+        np.take(theta, of, axis=0, out=w)
+        w *= p
+        w *= (times / w.sum(axis=1))[:, None]
+        theta = np.add.reduceat(w, starts, axis=0) / words
         theta = np.where(theta > 1e-12, theta, 0)
         theta /= theta.sum(axis=1, keepdims=True)
-    fit = np.add.reduceat(np.log(np.maximum((p * theta[of]).sum(axis=1), 1e-300)), starts)
-    return theta, fit
+    np.take(theta, of, axis=0, out=w)
+    w *= p
+    return theta, np.add.reduceat(np.log(np.maximum(w.sum(axis=1), 1e-300)) * times, starts)
 
 
-def proportions(log_p: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Proportions over the chosen language set; `log_p[word, language]`, every document has a word."""
+def proportions(log_p: np.ndarray, starts: np.ndarray, kinds: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """Proportions over the chosen language set; `log_p[kind, language]`, every document has a word (see `mixtures`)."""
     n, langs = len(starts), log_p.shape[1]
-    top = log_p.max(axis=1, keepdims=True)
-    p = np.maximum(np.exp((log_p - top).astype(np.float64)), 1e-30)
-    single = np.add.reduceat(np.maximum(log_p - top, -69).astype(np.float64), starts, axis=0)
+    times = np.ones(len(log_p)) if times is None else times.astype(float)
+    p = (log_p - log_p.max(axis=1, keepdims=True)).astype(np.float64)
+    single = np.add.reduceat(np.maximum(p, -69) * times[:, None], starts, axis=0)
+    p = np.maximum(np.exp(p, out=p), 1e-30, out=p)
     best = single.argmax(axis=1)
-    theta, whole = mixtures(p, starts, sizes, np.full((n, langs), 1 / langs))
-    price = PENALTY * np.log(sizes + 1.0)
+    theta, whole = mixtures(p, times, starts, kinds, np.full((n, langs), 1 / langs))
+    price = PENALTY * np.log(np.add.reduceat(times, starts) + 1.0)
     out = np.zeros((n, langs))
     out[np.arange(n), best] = 1
     value = single[np.arange(n), best]
@@ -115,11 +134,11 @@ def proportions(log_p: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.
     for k in range(2, langs + 1):
         if not len(rest):
             break
-        rows = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in rest])
-        first = np.concatenate(([0], np.cumsum(sizes[rest])[:-1]))
+        rows = np.concatenate([np.arange(starts[i], starts[i] + kinds[i]) for i in rest])
+        first = np.concatenate(([0], np.cumsum(kinds[rest])[:-1]))
         begin = np.zeros((len(rest), langs))
         np.put_along_axis(begin, order[rest, :k], 1 / k, axis=1)
-        fit, gain = mixtures(p[rows], first, sizes[rest], begin)
+        fit, gain = mixtures(p[rows], times[rows], first, kinds[rest], begin)
         gain = gain - (k - 1) * price[rest]
         better = gain > value[rest]
         out[rest[better]], value[rest[better]] = fit[better], gain[better]
@@ -127,6 +146,13 @@ def proportions(log_p: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.
     return out
 
 
+def blocks(kinds: np.ndarray, cells: int) -> Iterator[slice]:
+    """Documents in blocks of at most `cells` kinds of words, or of one document."""
+    part = np.cumsum(kinds) // max(1, cells)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(kinds)]
+    return (slice(a, b) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", carry=None) -> DataFrame:
     """`docs` with `lang_pred`, `score` (its proportion, 0 to 1) and `lang_mix` (language to proportion).
 
@@ -140,20 +166,21 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", carry=No
 
         def compute(texts: list[bytes]) -> list[pa.Array]:
             runs, codes, edges = runs_of(texts)
-            found = kept.all(runs, model.run_rows, 260)
-            table = np.array(found, np.float32).reshape(len(runs), langs + 1)
-            used = table[:, langs] > 0
-            word = used[codes]
-            upto = np.concatenate(([0], np.cumsum(word)))[edges]
-            sizes = np.diff(upto)
-            has = np.flatnonzero(sizes) if langs else np.zeros(0, np.int64)
+            found = kept.all(runs, model.run_rows, 300)
+            table = np.frombuffer(b"".join(found), np.float32).reshape(len(runs), langs + 1)
             names, scores, mixes = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
-            if len(has):
-                shares = proportions(table[codes[word], :langs], upto[has], sizes[has])
-                top = shares.argmax(axis=1)
-                scores[has] = np.clip(shares[np.arange(len(has)), top], 0, 1)
-                for i, t, share in zip(has.tolist(), top.tolist(), shares):
-                    names[i] = model.languages[t]
+            # The different words of each document, with their counts: a document costs its vocabulary, not its length.
+            place = np.flatnonzero((table[:, langs] > 0)[codes]) if langs else np.zeros(0, np.int64)
+            doc = np.searchsorted(edges, place, side="right") - 1
+            pairs, times = np.unique(doc << 32 | codes[place], return_counts=True)
+            docs_with, first, kinds = np.unique(pairs >> 32, return_index=True, return_counts=True)
+            for part in blocks(kinds, WORK_CELLS // max(1, langs)):
+                rows = slice(first[part][0], first[part][-1] + kinds[part][-1])
+                log_p = table[pairs[rows] & 0xFFFFFFFF, :langs]
+                shares = proportions(log_p, first[part] - first[part][0], kinds[part], times[rows])
+                for i, share in zip(docs_with[part].tolist(), shares):
+                    top = int(share.argmax())
+                    names[i], scores[i] = model.languages[top], min(float(share[top]), 1.0)
                     mixes[i] = [(model.languages[k], float(share[k])) for k in np.flatnonzero(share).tolist()]
             return [pa.array(names, pa.string()), pa.array(scores), pa.array(mixes, pa.map_(pa.string(), pa.float64()))]
 

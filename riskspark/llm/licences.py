@@ -23,6 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskspark.llm.texts import once
 from riskspark.session import materialize
 
 UNKNOWN = "unknown"
@@ -70,8 +71,10 @@ def ngrams(words: Column) -> Column:
 
 
 def neighbours(words: Column) -> Column:
-    """Pairs of neighbouring words; a last word's is with the empty word."""
-    return F.transform(words, lambda w, i: F.concat_ws(" ", w, F.coalesce(F.get(words, i + 1), F.lit(""))))
+    """Pairs of neighbouring words; a last word's is with the empty word. `words` is evaluated once, not for every word."""
+    return once(words, lambda ws: F.zip_with(
+        ws, F.concat(F.slice(ws, F.lit(2), F.size(ws)), F.array(F.lit(""))), lambda a, b: F.concat_ws(" ", a, b)
+    ))
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 TEXT_IN = "__text_in"
 
 
@@ -52,10 +52,17 @@ def map_texts(
                 texts = [x or b"" for x in part.column(TEXT_IN).to_pylist()]
                 arrays = [part.column(c) for c in carry] + list(compute(texts))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        del compute
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return work.mapInArrow(run, schema)
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once a row, wherever f uses it: also inside another array function, and after filters are moved."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def runs_of(texts: Sequence[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(different runs between ASCII white space, the run at each place of all texts end to end, where each text begins)."""
     split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))

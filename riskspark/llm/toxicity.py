@@ -24,7 +24,7 @@ from riskspark.llm.texts import Kept, bounded_sample, fold, map_texts, runs_of
 POSITIVE_ROWS, UNLABELLED_ROWS = 1_500, 7_500
 EPOCHS, RATE, RIDGE, LEAST_TEXTS, EVIDENCE = 200, 0.1, 2e-4, 3, 4.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
-RUN_BYTES = 80 << 20
+RUN_BYTES = 48 << 20
 _WORDS = re.compile(r"[^\W\d_]+")
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from riskspark.llm import lexical, queries, suffixes, whitening
+from riskspark.llm import langid, lexical, licences, queries, suffixes, whitening
 
 CLASH = ("t", "n", "doc", "k", "score", "rank", "query", "terms", "whitened", "component", "body", "id")
 
@@ -284,3 +284,61 @@ def test_search_query_equals_sql(spark, sf):
 @pytest.mark.parametrize("text,terms", [(b"", []), (b"A-b 12", [b"a", b"b", b"12"]), ("Éa_İ.x".encode(), ["Éa".encode(), "İ".encode(), b"x"])])
 def test_terms(text, terms):
     assert lexical.terms_of(text) == terms
+
+
+# --- language mixtures and licence pairs ---------------------------------------------------
+
+
+def test_mixtures_over_word_kinds_equal_mixtures_over_words():
+    """Counted kinds of words give what every word on its own gives, and the penalised set is the best nested one."""
+    rng = np.random.default_rng(4)
+    log_p = np.log(rng.dirichlet(np.ones(4) * 0.3, size=60)).astype(np.float32)
+    times = rng.integers(1, 9, 60)
+    starts, kinds = np.array([0, 25, 26]), np.array([25, 1, 34])
+    got = langid.proportions(log_p, starts, kinds, times)
+    for d, (a, k) in enumerate(zip(starts, kinds)):
+        words = np.repeat(log_p[a : a + k], times[a : a + k], axis=0).astype(float)
+        p = np.maximum(np.exp(words - words.max(axis=1, keepdims=True)), 1e-30)
+
+        def em(allowed):
+            theta = np.isin(np.arange(4), allowed) / len(allowed)
+            for _ in range(langid.STEPS):
+                w = p * theta
+                theta = (w / w.sum(axis=1, keepdims=True)).mean(axis=0)
+                theta = np.where(theta > 1e-12, theta, 0)
+                theta /= theta.sum()
+            return theta, np.log(np.maximum((p * theta).sum(axis=1), 1e-300)).sum()
+
+        theta, _ = em(range(4))
+        price = langid.PENALTY * np.log(len(words) + 1)
+        single = np.maximum(words - words.max(axis=1, keepdims=True), -69).sum(axis=0)
+        options = [(single.max(), np.eye(4)[single.argmax()])]
+        order = np.argsort(-theta, kind="stable")
+        for n in (2, 3, 4):
+            fit, gain = em(order[:n])
+            options.append((gain - (n - 1) * price, fit))
+        best = max(options, key=lambda x: x[0])
+        assert np.allclose(got[d], best[1], atol=1e-9)
+    with_blocks = [langid.proportions(log_p[starts[s][0]: starts[s][0] + kinds[s].sum()], starts[s] - starts[s][0], kinds[s], times[starts[s][0]: starts[s][0] + kinds[s].sum()]) for s in langid.blocks(kinds, 1)]
+    assert np.allclose(np.concatenate(with_blocks), got)
+
+
+def test_a_text_without_letters_has_no_language(spark):
+    model = langid.LanguageModel(("de", "en"), np.zeros((1 << langid.BITS, 2), np.float32))
+    texts = ["½", "²", "①", "Ⅷ", "12_3", "!", "", None, "½a", "漢", "\u0301"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, model, carry=["doc_id"]).collect()}
+    assert [got[i] != langid.UNKNOWN for i in range(len(texts))] == [False] * 8 + [True, True, False]
+
+
+def test_word_pairs_are_made_once_a_line(spark):
+    """Long lines cost their length: the optimised plan evaluates the split once a use, and the pairs are right."""
+    import time
+
+    line = " ".join(f"w{i}" for i in range(20_000))
+    df = spark.createDataFrame([(1, line), (2, "one"), (3, "the mit License")], "id int, line string")
+    began = time.time()
+    rows = df.select("id", licences.neighbours(licences.words_of(F.col("line"))).alias("p")).collect()
+    assert time.time() - began < 20
+    assert len(rows[0]["p"]) == 20_000 and rows[0]["p"][:2] == ["w0 w1", "w1 w2"] and rows[0]["p"][-1] == "w19999 "
+    assert rows[1]["p"] == ["one "] and rows[2]["p"] == ["the mit", "mit license", "license "]
