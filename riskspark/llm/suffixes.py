@@ -31,7 +31,7 @@ WIDTH = 50
 GRAM = 16
 SEGMENT = 1 << 20
 #: A rank pair is common if as many texts of one slice, and as many or this share of all anchors over all, have it.
-COMMON_HERE, COMMON_ROWS, COMMON_SHARE = 4, 4_096, 1 << 18
+COMMON_HERE, COMMON_ROWS, COMMON_SHARE = 4, 16_384, 1 << 18
 NO_ID = (1 << 63) - 1
 _C = np.uint64(0x9E3779B97F4A7C15)
 _D = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -190,7 +190,7 @@ def unpacked(batch: pa.RecordBatch) -> list[bytes]:
     return [pa.decompress(x.as_py(), decompressed_size=n, codec="zstd", asbytes=True) for x, n in zip(batch.column("packed"), batch.column("n").to_pylist())]
 
 
-STRINGS = "deal long, doc long, t long, n int, bytes binary, places array<int>"
+STRINGS = "deal int, doc long, t long, n int, bytes binary, places array<int>"
 SPANS = "t long, n int, spans array<int>"
 
 
@@ -209,6 +209,11 @@ def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values, pa.int32()))
 
 
+def dealt(name: np.ndarray) -> np.ndarray:
+    """32 bits to deal rows by: groups may hold several names, a name is in one group."""
+    return (name >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def ranges_of(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start, start + 1, ... `count` numbers each, end to end."""
     return np.arange(int(count.sum())) + np.repeat(start - (np.cumsum(count) - count), count)
@@ -243,7 +248,7 @@ def strings_of(s: Slice, kept: np.ndarray, common: np.ndarray, doc, t, n, width:
     copies = np.diff(np.append(np.flatnonzero(first), len(some)))
     raw = [s.buffer[a : b + width] for a, b in zip(low[head].tolist(), high[head].tolist())]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(mixed(deal[head]).view(np.int64)), pa.array(owner[head]), pa.array(t[text[head]]), pa.array(n[text[head]], pa.int32()),
+        [pa.array(dealt(mixed(deal[head]))), pa.array(owner[head]), pa.array(t[text[head]]), pa.array(n[text[head]], pa.int32()),
          pa.array(raw, pa.binary()), lists(place[some], copies)],
         names=["deal", "doc", "t", "n", "bytes", "places"],
     )
@@ -254,7 +259,7 @@ def strings_of(s: Slice, kept: np.ndarray, common: np.ndarray, doc, t, n, width:
     of = text[done[edges]]
     if len(of):
         yield pa.RecordBatch.from_arrays(
-            [pa.array(t[of]), pa.array(doc[of]), pa.array(t[of]), pa.array(n[of], pa.int32()), pa.array([None] * len(of), pa.binary()),
+            [pa.array(dealt(t[of].view(np.uint64))), pa.array(doc[of]), pa.array(t[of]), pa.array(n[of], pa.int32()), pa.array([None] * len(of), pa.binary()),
              lists(np.concatenate(spans), np.array([len(x) for x in spans]))],
             names=["deal", "doc", "t", "n", "bytes", "places"],
         )
@@ -288,7 +293,7 @@ def compared(raw: list[bytes], doc: np.ndarray, width: int) -> tuple[np.ndarray,
     of = np.repeat(np.arange(len(raw)), counts)
     b = np.frombuffer(b"".join(raw) + bytes(width), np.uint8)
     rank = ranked(b, width)[1][at]
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     new = np.concatenate((np.ones(min(1, len(order)), bool), rank[order][1:] != rank[order][:-1]))
     head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     again = np.flatnonzero(~new)
@@ -298,7 +303,7 @@ def compared(raw: list[bytes], doc: np.ndarray, width: int) -> tuple[np.ndarray,
             # Equal names of different strings: names are the strings themselves.
             plain = [bytes(b[i : i + width]) for i in at.tolist()]
             rank = np.unique(np.array(plain, f"V{width}"), return_inverse=True)[1]
-            order = np.argsort(rank, kind="stable")
+            order = np.argsort(rank)
             new = np.concatenate(([True], rank[order][1:] != rank[order][:-1]))
             break
     least = np.minimum.reduceat(doc[of[order]], np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
