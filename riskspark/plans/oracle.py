@@ -9,6 +9,7 @@ from riskspark.operators.clean import INPUT_BOUNDS
 from riskspark.operators.policy import DECISION_LABELS, DECISION_TEXTS
 from riskspark.operators.profile import DERIVED_HISTOGRAMS
 from riskspark.operators.report import CONTRIBUTION_LABELS, FEATURE_HINTS, FEATURE_LABELS, NO_HINT
+from riskspark.plans import oracle_forest
 from riskspark.plans.scorecard import SCALED_INTERCEPT, SCALED_WEIGHTS, THRESHOLD
 from riskspark.schema import DERIVED_FEATURES, FEATURE_COLS, RAW_FEATURES
 
@@ -504,6 +505,8 @@ for _key, _name in {
     "f_credit_lines_per_age": "credit_lines_per_age", "f_log_income": "log_income",
 }.items():
     SELECTS[_key] = f"SELECT {rounded(['id', _name])} FROM featured"
+STEPS |= oracle_forest.STEPS
+SELECTS |= oracle_forest.selects(r)
 
 # Queries that bring steps of their own after the shared ones.
 WITH_STEPS = {
@@ -524,7 +527,7 @@ WITH_STEPS |= {
       SELECT strategy, target AS class, count(*) AS n, {r("sum(CASE WHEN target = 0 THEN count(*) END) OVER (PARTITION BY strategy) / sum(CASE WHEN target = 1 THEN count(*) END) OVER (PARTITION BY strategy)")} AS ratio
       FROM every GROUP BY strategy, target"""),
 }
-SHARED = {"train", "few", "grown", "borrowers", "featured", "splits", "scaled", "contrib", "models", "aged_split"}
+SHARED = {"forest_rounds", "train", "few", "grown", "borrowers", "featured", "splits", "scaled", "contrib", "models", "aged_split"}
 
 
 def _needed(sql: str, found: dict[str, None]) -> None:

@@ -12,7 +12,7 @@ from riskspark.operators import (
     clean, explain, metrics, models, policy, profile, rebalance, report, scale, split, trees,
 )
 from riskspark.operators.quantiles import quantiles
-from riskspark.plans import pipeline, scorecard
+from riskspark.plans import forest, pipeline, scorecard
 from riskspark.schema import DERIVED_FEATURES, FEATURE_COLS, ID, LABEL, RAW_FEATURES, RAW_TO_NAME
 from riskspark.session import materialize, scratch_path
 from riskspark.sources import applications as io
@@ -631,9 +631,9 @@ def q_strategies(spark, sf):
 
 # --- models --------------------------------------------------------------------------------
 
-# Rounds and trials of the registered runs; the library's defaults are the full 300, 500 and 50.
-RUN_ROUNDS, RUN_TRIALS = 30, 3
-RUN_SPACE = {**models.SEARCH_SPACE, "rounds": (10, RUN_ROUNDS, False)}
+# The registered search: fewer trials of fewer rounds than the library's 50 of 100 to 500. Models run with its defaults.
+RUN_TRIALS = 3
+RUN_SPACE = {**models.SEARCH_SPACE, "rounds": (10, 30, False)}
 _fitted: dict[tuple[str, str, str], str] = {}
 
 
@@ -648,9 +648,9 @@ def fitted(spark, sf, name: str):
         if name == "logreg":
             made = {name: models.train_logreg(train, cols)}
         elif name == "gbt_balanced":
-            made = {name: models.train_gbt_balanced(train, val, cols, RUN_ROUNDS).model}
+            made = {name: models.train_gbt_balanced(train, val, cols).model}
         else:
-            boosted = models.train_gbt(train, val, cols, models.BoostParams(rounds=RUN_ROUNDS))
+            boosted = models.train_gbt(train, val, cols)
             made = {"gbt": boosted.model, "gbt_full": boosted.full}
         for n, model in made.items():
             _fitted[slot(n)] = scratch_path(spark, f"model-{n}")
@@ -750,3 +750,39 @@ def q_additivity(spark, sf):
     rows = trees.explain_trees(models.score_model(model, test), found, pipeline.SCALED_COLS, keep=[ID, "margin"])
     gap = trees.total_contribution() + F.lit(trees.expected_margin(found)) - F.col("margin")
     return rows.agg(F.count("*").alias("n_rows"), F.count_if(F.abs(gap) < 1e-9).alias("n_additive"))
+
+
+# --- the frozen forest: tree operators with SQL beside them ------------------------------------
+
+
+@query("forest_score")
+def q_forest_score(spark, sf):
+    """Held-out rows scored by the forest as a relation of leaf boxes."""
+    rows, found = held_out(spark, sf), forest.frozen_forest()
+    margins = trees.box_margins(rows, trees.box_table(found, pipeline.SCALED_COLS, spark), pipeline.SCALED_COLS)
+    return tidy(margins.withColumn("prob", scorecard.logistic(F.col("margin"))))
+
+
+@query("forest_learning_curve")
+def q_forest_curve(spark, sf):
+    rows = pipeline.prepared(spark, sf).where("split in ('train', 'val')")
+    return tidy(models.learning_curve(forest.frozen_forest(), rows, pipeline.SCALED_COLS))
+
+
+@query("forest_explain")
+def q_forest_explain(spark, sf):
+    test = pipeline.prepared(spark, sf, "test")
+    return tidy(explain.to_long(trees.explain_trees(test, forest.frozen_forest(), pipeline.SCALED_COLS, shown=FEATURE_COLS)))
+
+
+@query("forest_expected_value")
+def q_forest_expected(spark, sf):
+    return tidy(trees.expected_value(pipeline.prepared(spark, sf, "test"), forest.frozen_forest()))
+
+
+@query("logreg_certificate")
+def q_certificate(spark, sf):
+    """The logistic objective's gradient and curvature at the scaled card's coefficients."""
+    return tidy(models.logreg_certificate(
+        train_split(spark, sf), scorecard.SCALED_WEIGHTS, scorecard.SCALED_INTERCEPT, suffix=pipeline.SCALED
+    ))
