@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from riskspark.plans import workflow
 from riskspark.session import SCRATCH
-from riskspark.sources.applications import read_applications_csv
+from riskspark.sources.applications import malformed_applications, read_applications_csv
 
 
 def main() -> None:
@@ -20,7 +20,7 @@ def main() -> None:
         if name != "train":
             phase.add_argument("--csv", required=True, help="applications as a headed CSV")
     phases.choices["train"].add_argument("--trials", type=int, default=50)
-    phases.choices["score"].add_argument("--to", required=True, help="folder for the decisions")
+    phases.choices["score"].add_argument("--to", required=True, help="folder for decisions, set-aside rows and reports")
     phases.choices["score"].add_argument("--threshold", type=float)
     args = parser.parse_args()
 
@@ -35,8 +35,8 @@ def main() -> None:
     elif args.phase == "prepare":
         workflow.run_prepare(applications, args.out)
     else:
-        artifacts, model = workflow.load_artifacts(spark, args.out)
-        workflow.score_with_model(applications, artifacts, model, args.threshold).write.parquet(args.to)
+        workflow.run_score(applications, args.out, args.to, args.threshold)
+        malformed_applications(spark, args.csv).write.mode("overwrite").parquet(f"{args.to}/malformed")
 
 
 if __name__ == "__main__":

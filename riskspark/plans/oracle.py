@@ -154,6 +154,11 @@ STEPS["by_size"] = """
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY -abs(contribution), position) AS place,
          max(abs(contribution)) OVER (PARTITION BY id) AS most FROM contrib"""
 
+# The same over every scored application instead of the test rows.
+STEPS["contrib_all"] = STEPS["contrib"].replace(" WHERE split = 'test'", "")
+STEPS["importance_all"] = STEPS["importance"].replace("FROM contrib ", "FROM contrib_all ")
+STEPS["by_size_all"] = STEPS["by_size"].replace("FROM contrib", "FROM contrib_all")
+
 MARGIN = {
     "a": """-1.2e0 + 0.9e0 * LEAST(revolving_utilization, 1.5e0) + 1.1e0 * late_90d + 0.6e0 * late_60_89
              + 0.35e0 * late_30_59 - 0.012e0 * (age - 50)""",
@@ -483,20 +488,23 @@ SELECTS: dict[str, str] = {
         FROM card, (SELECT range AS k, range / 100e0 AS cut FROM range(10, 91)) GROUP BY k, cut""",
     "reason_codes": f"""SELECT id, CAST(place AS INT) AS rank, feature, {LABEL_OF} AS label, {shown(0)} AS shown, contribution,
         {r('CASE WHEN most > 0 THEN abs(contribution) / most * 100e0 ELSE 0e0 END')} AS bar_pct,
-        CASE WHEN contribution > 0 THEN 'raises' ELSE 'lowers' END AS direction FROM by_size WHERE place <= 10""",
-    "contribution_class": f"SELECT id, feature, {EFFECT} AS effect FROM contrib",
-    "feature_dictionary": f"SELECT feature, {r('mean_abs')} AS mean_abs, rank, {LABEL_OF} AS label, {HINT_OF} AS hint FROM importance",
-    "format_indicator": f"SELECT id, feature, {shown(2)} AS shown FROM contrib",
+        CASE WHEN contribution > 0 THEN 'raises' ELSE 'lowers' END AS direction FROM by_size_all WHERE place <= 10""",
+    "contribution_class": f"SELECT id, feature, {EFFECT} AS effect FROM contrib_all",
+    "feature_dictionary": f"SELECT feature, {r('mean_abs')} AS mean_abs, rank, {LABEL_OF} AS label, {HINT_OF} AS hint FROM importance_all",
+    "format_indicator": f"SELECT id, feature, {shown(2)} AS shown FROM contrib_all",
     "indicator_table": f"""SELECT id, CAST(place AS INT) AS place, feature, {LABEL_OF} AS label, {shown(2)} AS shown,
         {r('contribution', 4)} AS contribution, {EFFECT} AS effect, {case_map(f'({EFFECT})', CONTRIBUTION_LABELS)} AS effect_label, {HINT_OF} AS hint
-        FROM by_size""",
+        FROM by_size_all""",
     "baseline_vs_final": f"""SELECT id, {r('base', 4)} AS base_margin, {r('base + total', 4)} AS final_margin, {r('total', 4)} AS diff_margin,
         {r('1 / (1 + exp(-base))', 4)} AS base_prob, {r('1 / (1 + exp(-(base + total)))', 4)} AS final_prob,
         {r('1 / (1 + exp(-(base + total))) - 1 / (1 + exp(-base))', 4)} AS diff_prob
-        FROM (SELECT id, sum(contribution) AS total FROM contrib GROUP BY id),
+        FROM (SELECT id, sum(contribution) AS total FROM contrib_all GROUP BY id),
              (SELECT CAST({SCALED_INTERCEPT} AS DOUBLE) + {' + '.join(f'CAST({w} AS DOUBLE) * m_{c}' for c, w in SCALED_WEIGHTS.items())} AS base FROM means)""",
     "decision_text": f"SELECT id, decision, {case_map('decision', DECISION_TEXTS)} AS text, {case_map('decision', DECISION_LABELS)} AS label FROM (SELECT id, {DECISION} AS decision FROM card)",
     "stream_score": f"SELECT {DECISION_ROW} FROM scored",
+    "set_aside": "SELECT id, concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in FEATURE_COLS)
+    + ") AS violations FROM featured WHERE " + " OR ".join(f"{c} IS NULL" for c in FEATURE_COLS)
+    + " UNION ALL SELECT id, 'age' FROM borrowers WHERE NOT COALESCE(age > 0 AND age <= 95, false)",
 }
 for _key, _name in {
     "f_total_late": "total_late_payments", "f_weighted_late": "weighted_late_score",
@@ -527,7 +535,7 @@ WITH_STEPS |= {
       SELECT strategy, target AS class, count(*) AS n, {r("sum(CASE WHEN target = 0 THEN count(*) END) OVER (PARTITION BY strategy) / sum(CASE WHEN target = 1 THEN count(*) END) OVER (PARTITION BY strategy)")} AS ratio
       FROM every GROUP BY strategy, target"""),
 }
-SHARED = {"forest_rounds", "train", "few", "grown", "borrowers", "featured", "splits", "scaled", "contrib", "models", "aged_split"}
+SHARED = {"contrib_all", "forest_rounds", "train", "few", "grown", "borrowers", "featured", "splits", "scaled", "contrib", "models", "aged_split"}
 
 
 def _needed(sql: str, found: dict[str, None]) -> None:

@@ -17,7 +17,7 @@ from riskspark.schema import DERIVED_FEATURES, FEATURE_COLS, ID, LABEL, RAW_FEAT
 from riskspark.session import materialize, scratch_path
 from riskspark.sources import applications as io
 from riskspark.sources.borrowers import borrowers
-from riskspark.streaming.score_stream import read_application_stream, stream_score
+from riskspark.streaming.score_stream import read_application_stream, read_decisions, stream_score
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -459,10 +459,10 @@ def q_best(spark, sf):
 # --- explanation ---------------------------------------------------------------------------
 
 
-def explained(spark, sf) -> DataFrame:
-    """Test rows with linear contributions of the scaled card, means taken on the training rows."""
+def explained(spark, sf, part: str | None = "test") -> DataFrame:
+    """Rows of one split (None: every application) with linear contributions of the scaled card, means taken on the training rows."""
     means = explain.feature_means(pipeline.prepared(spark, sf, "train"), suffix=pipeline.SCALED)
-    scored = pipeline.score_scaled_card(pipeline.prepared(spark, sf, "test"))
+    scored = pipeline.score_scaled_card(pipeline.prepared(spark, sf, part))
     return explain.explain_linear(scored, scorecard.SCALED_WEIGHTS, means, pipeline.SCALED, digits=6)
 
 
@@ -518,7 +518,14 @@ def decided(spark, sf) -> DataFrame:
 @query("score_applications")
 def q_score_applications(spark, sf):
     raw = borrowers(spark, sf)
-    return tidy(pipeline.score_applications(raw, pipeline.fit_artifacts(raw)).select(*DECISION_COLS))
+    return tidy(pipeline.score_applications(raw, pipeline.stored_artifacts(spark, sf)).select(*DECISION_COLS))
+
+
+@query("set_aside")
+def q_set_aside(spark, sf):
+    """Applications that get no score, and the fields that are missing or out of range."""
+    aside = pipeline.set_aside(borrowers(spark, sf), pipeline.stored_artifacts(spark, sf))
+    return aside.select(ID, F.array_join("violations", ",").alias("violations"))
 
 
 @query("decide")
@@ -549,29 +556,29 @@ def q_policy(spark, sf):
 
 @query("reason_codes")
 def q_reason_codes(spark, sf):
-    return tidy(report.reason_codes(explained(spark, sf)))
+    return tidy(report.reason_codes(explained(spark, sf, None)))
 
 
 @query("contribution_class")
 def q_contribution_class(spark, sf):
-    long = explain.to_long(explained(spark, sf))
+    long = explain.to_long(explained(spark, sf, None))
     return long.select(ID, "feature", report.contribution_class(F.col("contribution")).alias("effect"))
 
 
 @query("feature_dictionary")
 def q_dictionary(spark, sf):
-    return tidy(report.feature_dictionary(explain.importance_rank(explained(spark, sf), None)))
+    return tidy(report.feature_dictionary(explain.importance_rank(explained(spark, sf, None), None)))
 
 
 @query("format_indicator")
 def q_format_indicator(spark, sf):
-    long = explain.to_long(explained(spark, sf))
+    long = explain.to_long(explained(spark, sf, None))
     return long.select(ID, "feature", display.format_indicator(F.col("feature"), F.col("value")).alias("shown"))
 
 
 @query("indicator_table")
 def q_indicator_table(spark, sf):
-    return tidy(report.indicator_table(explained(spark, sf)))
+    return tidy(report.indicator_table(explained(spark, sf, None)))
 
 
 @query("baseline_vs_final")
@@ -579,7 +586,7 @@ def q_baseline(spark, sf):
     means = explain.feature_means(pipeline.prepared(spark, sf, "train"), suffix=pipeline.SCALED)
     expected = scorecard.SCALED_INTERCEPT + sum(w * means[f] for f, w in scorecard.SCALED_WEIGHTS.items())
     cols = ["base_margin", "final_margin", "diff_margin", "base_prob", "final_prob", "diff_prob"]
-    return tidy(explain.baseline_vs_final(explained(spark, sf), expected).select(ID, *cols), 4)
+    return tidy(explain.baseline_vs_final(explained(spark, sf, None), expected).select(ID, *cols), 4)
 
 
 @query("decision_text")
@@ -593,11 +600,11 @@ def q_stream(spark, sf):
     landing, out = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
     raw.write.parquet(landing)
     running = stream_score(
-        read_application_stream(spark, landing), pipeline.fit_artifacts(raw), out, scratch_path(spark, "stream-log"),
+        read_application_stream(spark, landing), pipeline.stored_artifacts(spark, sf), out, scratch_path(spark, "stream-log"),
         DECISION_COLS,
     )
     running.awaitTermination()
-    return tidy(spark.read.parquet(out))
+    return tidy(read_decisions(spark, out).select(*DECISION_COLS))
 
 
 # --- rebalancing ---------------------------------------------------------------------------
