@@ -11,13 +11,13 @@ ranks only the rows sharing the last prefix, so a split never moves or sorts the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 4_096
 MAX_CLASSES = 1_000
 HASH_DIGITS, PREFIX_STEP = 32, 3
 ORDER_ROWS = 200_000
@@ -26,10 +26,10 @@ ORDER_ROWS = 200_000
 def _bucket_splits(df: DataFrame, key: str, buckets: int | None) -> list[float]:
     if buckets is None:
         buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(2, min(buckets, MAX_BUCKETS))
+    buckets = max(2, buckets)
     probs = [i / buckets for i in range(1, buckets)]
     cuts = df.agg(F.percentile_approx(F.col(key).cast("double"), probs, 20 * buckets)).first()[0]
-    return [float("-inf"), *sorted(set(cuts or [0.0])), float("inf")]
+    return [float("-inf"), *(sorted(c for c in set(cuts or ()) if math.isfinite(c)) or [0.0]), float("inf")]
 
 
 def ordered_prefix(
@@ -37,9 +37,10 @@ def ordered_prefix(
 ) -> DataFrame:
     """One row per `(by, key)` with, for every summed column `s`: `s`, `s_before`, `s_total`.
 
-    `s_before` is the sum over strictly smaller keys of the same group. Null keys are left out.
+    `s_before` is the sum over strictly smaller keys of the same group. Null and NaN keys are left out. The number
+    of ranges follows the session's shuffle partitions, as the number of tasks does.
     """
-    df = df.where(F.col(key).isNotNull())
+    df = df.where(F.col(key).isNotNull() & ~F.isnan(F.col(key).cast("double")))
     bucketizer = Bucketizer(
         splits=_bucket_splits(df, key, buckets), inputCol="_key", outputCol="_bucket"
     )
@@ -94,7 +95,7 @@ def hash_cuts(
 
     def in_reach() -> DataFrame:
         hits = F.array(*[
-            F.when((F.col("c") == c) & F.startswith("h", F.lit(p)),
+            F.when(F.col("c").eqNullSafe(F.lit(c)) & F.startswith("h", F.lit(p)),
                    F.struct(F.lit(r).cast("bigint").alias("r"), F.lit(skip).cast("bigint").alias("skip")))
             for (c, r), (p, skip, _) in state.items()
         ])

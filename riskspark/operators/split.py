@@ -21,7 +21,8 @@ def stratified_split(
     seed: int = SEED,
     id_col: str = ID,
 ) -> DataFrame:
-    """Add `split`: the first `test` share of every class by hash rank, then `val`, then train.
+    """Add `split`: the first `test` share of every class by hash rank, then `val`, then train. Rows without a label
+    are a class of their own.
 
     Once the cut hashes are known the assignment is a projection: no row moves.
     """
@@ -32,7 +33,7 @@ def stratified_split(
     def within(which: int):
         hit = F.lit(False)
         for c, wanted in ranks.items():
-            hit = hit | ((F.col(label) == c) & at_or_before(cuts.get((c, wanted[which])), id_col, seed))
+            hit = hit | (F.col(label).eqNullSafe(F.lit(c)) & at_or_before(cuts.get((c, wanted[which])), id_col, seed))
         return hit
 
     return df.withColumn("split", F.when(within(0), "test").when(within(1), "val").otherwise("train"))
@@ -41,8 +42,11 @@ def stratified_split(
 def random_undersample(
     df: DataFrame, label: str = LABEL, ratio: float = 0.5, seed: int = SEED, id_col: str = ID
 ) -> DataFrame:
-    """All minority rows, and majority rows by hash rank until minority / majority = `ratio`."""
+    """All minority rows, and majority rows by hash rank until minority / majority = `ratio`. Rows without a label go."""
+    df = df.where(F.col(label).isNotNull())
     sizes = class_sizes(df, label)
+    if not sizes:
+        return df
     minority = min(sizes, key=lambda c: (sizes[c], -c))
     wanted = {c: (min(n, int(sizes[minority] / ratio)),) for c, n in sizes.items() if c != minority}
     cuts = hash_cuts(df, label, wanted, id_col, seed, sizes)

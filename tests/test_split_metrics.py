@@ -126,3 +126,26 @@ def test_golden_metrics(spark):
     assert metrics.average_precision(card).first()[0] == pytest.approx(0.20030513, abs=1e-8)
     best = metrics.best_threshold(metrics.threshold_sweep(card)).first()
     assert (best["k"], best["tp"], best["fp"], best["fn"]) == (44, 416, 1552, 614)
+
+
+def test_rows_without_a_label_are_split_and_not_resampled(spark):
+    df = spark.range(1_000).select("id", F.when(F.col("id") % 10 != 0, (F.col("id") % 3 == 0).cast("int")).alias("target"))
+    got = {(r["target"], r["split"]): r["count"] for r in split.stratified_split(df).groupBy("target", "split").count().collect()}
+    assert [got[None, s] for s in ("test", "val", "train")] == [20, 20, 60]
+    assert {c for c, _ in got} == {None, 0, 1} and sum(got.values()) == 1_000
+    kept = {r["target"]: r["count"] for r in split.random_undersample(df, ratio=1.0).groupBy("target").count().collect()}
+    assert kept == {0: 300, 1: 300}
+    assert split.random_undersample(df.where("target is null")).count() == 0
+
+
+def test_scores_that_are_no_numbers_are_left_out_of_ranks(spark):
+    rows = [(1, 0.9), (0, 0.1), (1, float("nan")), (0, float("nan")), (0, None), (1, float("inf")), (0, float("-inf"))]
+    df = spark.createDataFrame(rows, "target int, score double")
+    assert metrics.roc_auc(df).first()["auc"] == 1.0
+    many = spark.range(60_000).select((F.col("id") % 2).cast("int").alias("target"), F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.rand(3)).alias("score")).cache()
+    pdf = many.toPandas()
+    ranks = pdf["score"].rank()
+    pos = pdf["target"] == 1
+    want = (ranks[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+    assert metrics.roc_auc(many).first()["auc"] == pytest.approx(want, abs=1e-12)
+    assert metrics.roc_auc(many, buckets=5_000).first()["auc"] == pytest.approx(want, abs=1e-12)
