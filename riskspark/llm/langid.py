@@ -27,21 +27,30 @@ SAMPLE_ROWS = 3_000
 SMOOTHING = 0.5
 STEPS, PENALTY = 8, 2.0
 UNKNOWN = "und"
-RUN_BYTES = 48 << 20
+RUN_BYTES = 64 << 20
 #: Cells (word kind of a document, language) worked on at once; a longer document is a block of its own.
 WORK_CELLS = 1 << 18
 
 
+_NOT_LETTERS = re.compile(r"[^\w\n]|[\d_]")
+
+
 @cache
-def not_letters() -> re.Pattern[str]:
-    """What isn't a letter: also the numbers that regular expressions count as word characters, such as halves and numerals."""
-    numbers = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha())
-    return re.compile(rf"[^\w\n]|[\d_{re.escape(numbers)}]")
+def numbers() -> frozenset[str]:
+    """Numbers that regular expressions count as word characters and that are no digits: halves, numerals and the like."""
+    return frozenset(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha())
+
+
+def letters_only(text: str) -> str:
+    """The text with a blank for whatever is neither a letter nor a line end."""
+    text = _NOT_LETTERS.sub(" ", text)
+    found = numbers().intersection(text)
+    return text.translate(dict.fromkeys(map(ord, found), " ")) if found else text
 
 
 def trigrams(runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashed trigram, number of its run) for every letter; a letter's neighbours may be the word's edge."""
-    text = not_letters().sub(" ", "\n" + "\n".join(runs).lower() + "\n")
+    text = letters_only("\n" + "\n".join(runs).lower() + "\n")
     c = np.frombuffer(text.encode("utf-32-le"), "<u4")
     run = np.cumsum(c == 10) - 1
     c = np.where(c == 10, 32, c).astype(np.uint32)
@@ -166,7 +175,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", carry=No
 
         def compute(texts: list[bytes]) -> list[pa.Array]:
             runs, codes, edges = runs_of(texts)
-            found = kept.all(runs, model.run_rows, 300)
+            found = kept.all(runs, model.run_rows, 240)
             table = np.frombuffer(b"".join(found), np.float32).reshape(len(runs), langs + 1)
             names, scores, mixes = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
             # The different words of each document, with their counts: a document costs its vocabulary, not its length.
