@@ -24,9 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskspark.session import materialize
+
 WIDTH = 50
 GRAM = 16
 SEGMENT = 1 << 20
@@ -146,7 +149,7 @@ def common_pairs(docs: DataFrame, width: int) -> np.ndarray:
                 [pa.concat_arrays([pa.array([None], pa.int64()), keys]), pa.concat_arrays([pa.array([total], pa.int64()), counts])], names=["k", "n"]
             )
 
-    found = docs.select("body").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    found = materialize(docs.select("body").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "anchor-counts")
     total = F.sum(F.when(F.col("k").isNull(), F.col("n"))).alias("total")
     anchors = found.agg(total).first()["total"] or 0
     chosen = found.where(F.col("k").isNotNull() & (F.col("n") >= max(COMMON_ROWS, anchors // COMMON_SHARE))).select("k").toArrow()
@@ -190,7 +193,8 @@ def unpacked(batch: pa.RecordBatch) -> list[bytes]:
     return [pa.decompress(x.as_py(), decompressed_size=n, codec="zstd", asbytes=True) for x, n in zip(batch.column("packed"), batch.column("n").to_pylist())]
 
 
-STRINGS = "deal int, doc long, t long, n int, bytes binary, places array<int>"
+#: A stretch of bytes of a text: n << 32 | its first place, and its further places; without bytes, settled spans.
+STRINGS = "deal int, doc long, t long, at long, bytes binary, more array<int>"
 SPANS = "t long, n int, spans array<int>"
 
 
@@ -205,8 +209,11 @@ def joined_spans(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
-def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values, pa.int32()))
+def lists(values: np.ndarray, counts: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    """Lists of `counts` values each; null where not `valid`."""
+    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    mask = None if valid is None else pa.array(~valid)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=mask)
 
 
 def dealt(name: np.ndarray) -> np.ndarray:
@@ -247,10 +254,11 @@ def strings_of(s: Slice, kept: np.ndarray, common: np.ndarray, doc, t, n, width:
     head = some[first]
     copies = np.diff(np.append(np.flatnonzero(first), len(some)))
     raw = [s.buffer[a : b + width] for a, b in zip(low[head].tolist(), high[head].tolist())]
+    names = ["deal", "doc", "t", "at", "bytes", "more"]
+    more = lists(place[some][~first], copies - 1, copies > 1)
+    at = (n[text[head]].astype(np.int64) << 32) | place[head]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(dealt(mixed(deal[head]))), pa.array(owner[head]), pa.array(t[text[head]]), pa.array(n[text[head]], pa.int32()),
-         pa.array(raw, pa.binary()), lists(place[some], copies)],
-        names=["deal", "doc", "t", "n", "bytes", "places"],
+        [pa.array(dealt(mixed(deal[head]))), pa.array(owner[head]), pa.array(t[text[head]]), pa.array(at), pa.array(raw, pa.binary()), more], names=names
     )
     done = np.flatnonzero(settled)
     done = done[np.lexsort((place[done], text[done]))]
@@ -259,9 +267,9 @@ def strings_of(s: Slice, kept: np.ndarray, common: np.ndarray, doc, t, n, width:
     of = text[done[edges]]
     if len(of):
         yield pa.RecordBatch.from_arrays(
-            [pa.array(dealt(t[of].view(np.uint64))), pa.array(doc[of]), pa.array(t[of]), pa.array(n[of], pa.int32()), pa.array([None] * len(of), pa.binary()),
-             lists(np.concatenate(spans), np.array([len(x) for x in spans]))],
-            names=["deal", "doc", "t", "n", "bytes", "places"],
+            [pa.array(dealt(t[of].view(np.uint64))), pa.array(doc[of]), pa.array(t[of]), pa.array(n[of].astype(np.int64) << 32),
+             pa.array([None] * len(of), pa.binary()), lists(np.concatenate(spans), np.array([len(x) for x in spans]))],
+            names=names,
         )
 
 
@@ -313,29 +321,40 @@ def compared(raw: list[bytes], doc: np.ndarray, width: int) -> tuple[np.ndarray,
 
 
 def settle(batches: list[pa.RecordBatch], width: int) -> pa.RecordBatch:
-    """Spans of whole groups of equal `deal`."""
-    batch = pa.Table.from_batches(batches)
-    doc, t, n = (batch.column(name).to_numpy() for name in ("doc", "t", "n"))
-    raw, places = batch.column("bytes").to_pylist(), batch.column("places").to_pylist()
-    rows = [i for i, x in enumerate(raw) if x is not None]
-    of, gone = compared([raw[i] for i in rows], doc[rows], width)
-    spans: list[np.ndarray] = []
-    keep: list[int] = []
+    """Spans of whole groups of equal `deal`: one row for each place of a stretch with any, and the settled ones."""
+    batch = pa.Table.from_batches(batches).combine_chunks()
+    doc, t, at = (batch.column(name).to_numpy() for name in ("doc", "t", "at"))
+    known = batch.column("bytes").is_null().to_numpy()
+    rows = np.flatnonzero(~known)
+    of, gone = compared(batch.column("bytes").drop_null().to_pylist(), doc[rows], width)
     hit = np.flatnonzero(gone)
-    start = np.concatenate(([0], np.cumsum([len(raw[i]) - width + 1 for i in rows]))).astype(np.int64)
-    by = np.flatnonzero(np.concatenate((np.ones(min(1, len(hit)), bool), of[hit][1:] != of[hit][:-1])))
-    for g in np.split(hit, by[1:]) if len(hit) else []:
-        k = int(of[g[0]])
-        own = joined_spans(g - start[k], g - start[k] + width)
-        spans.append((np.array(places[rows[k]], np.int64)[:, None] + own).ravel())
-        keep.append(rows[k])
-    for i, x in enumerate(raw):
-        if x is None:
-            spans.append(np.array(places[i], np.int64))
-            keep.append(i)
-    values = np.concatenate(spans) if spans else np.zeros(0, np.int64)
+    of, start = of[hit], np.searchsorted(of, np.arange(len(rows)))
+    low = hit - start[of]
+    new = np.ones(len(hit), bool)
+    new[1:] = (of[1:] != of[:-1]) | (low[1:] > low[:-1] + width)
+    first = np.flatnonzero(new)
+    low, high, of = low[first], low[np.append(first[1:], len(hit))[: len(first)] - 1] + width, of[first]
+    # Every place of a stretch has the spans of the stretch.
+    further = pc.fill_null(pc.list_value_length(batch.column("more")), 0).to_numpy()
+    flat, begin = pc.list_flatten(batch.column("more")).to_numpy(), np.cumsum(further) - further
+    spans = np.bincount(of, minlength=len(rows))
+    some = np.flatnonzero(spans)
+    places = 1 + further[rows[some]]
+    row = np.repeat(some, places)
+    place = np.empty(len(row), np.int64)
+    heads = np.cumsum(places) - places
+    place[heads] = at[rows[some]] & 0xFFFFFFFF
+    rest = np.ones(len(row), bool)
+    rest[heads] = False
+    place[rest] = flat[ranges_of(begin[rows[some]], places - 1)]
+    each = ranges_of((np.cumsum(spans) - spans)[row], spans[row])
+    shift = np.repeat(place, spans[row])
+    values = np.stack((low[each] + shift, high[each] + shift), axis=1).ravel()
+    done = np.flatnonzero(known)
+    values = np.concatenate((values, flat[ranges_of(begin[done], further[done])]))
+    whose = np.concatenate((rows[row], done))
     return pa.RecordBatch.from_arrays(
-        [pa.array(t[keep], pa.int64()), pa.array(n[keep], pa.int32()), lists(values, np.array([len(x) for x in spans], np.int64))], names=["t", "n", "spans"]
+        [pa.array(t[whose], pa.int64()), pa.array(at[whose] >> 32, pa.int32()), lists(values, np.concatenate((2 * spans[row], further[done])))], names=["t", "n", "spans"]
     )
 
 
