@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -89,8 +90,8 @@ class Slice:
         begin = np.cumsum(sizes) - sizes
         self.shift = np.array([s[1] for s in segments], np.int64) - begin
         self.buffer = b"".join(s[2] for s in segments)
-        b = np.frombuffer(self.buffer + bytes(width), np.uint8)
-        self.pair, self.rank = ranked(b, width)
+        self.width, self.bytes = width, np.frombuffer(self.buffer + bytes(width), np.uint8)
+        self.pair = ranked(self.bytes, 8)[0]
         counts = sizes - width + 1
         seg = np.repeat(np.arange(len(segments)), counts)
         at = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts - begin, counts)
@@ -102,6 +103,12 @@ class Slice:
         self.text = self.of[self.seg]
 
 
+    @cached_property
+    def rank(self) -> np.ndarray:
+        """Ranks of `width` bytes; only the last round needs them."""
+        return ranked(self.bytes, self.width)[1]
+
+
 def sliced(texts: list[bytes], width: int) -> Iterator[Slice]:
     """Slices of about `SEGMENT` bytes; texts shorter than `width` have no string and are in none."""
     held, size = [], 0
@@ -182,8 +189,9 @@ def packed(docs: DataFrame) -> DataFrame:
     """(doc, t, n, packed): documents whose text travels compressed."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=3)
         for batch in batches:
-            small = [pa.compress(x.as_py(), codec="zstd", asbytes=True) for x in batch.column(3)]
+            small = [codec.compress(x.as_py(), asbytes=True) for x in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(small, pa.binary())], names=["doc", "t", "n", "packed"])
 
     return docs.select("doc", "t", "n", "body").mapInArrow(pack, "doc long, t long, n int, packed binary")
