@@ -7,6 +7,8 @@ counting pass decides on which side of them, between them or at which of them th
 interval is counted by value and ordered there. Both passes are map-side aggregations joined with the table of
 ranks, which is written after each round; groups are rows, not literals, so their number isn't bounded, and
 a value that many rows share is one row. A sketch only proposes, so the result is exact whatever its error.
+Up to `BROADCAST_RANKS` ranks go to the rows, which then never move; a shuffle by column would have as many tasks
+as columns, each sorting all its values.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from riskspark.session import materialize
 #: An interval with at most so many values is ordered, a larger one is narrowed.
 ORDER_ROWS = 1_000
 GRID = 256
+#: So many rows of the table of ranks are sent to the tasks; a larger table, that of very many groups, is shuffled.
+BROADCAST_RANKS = 50_000
+NEVER_NULL = ("feature", "rank")
 
 
 def quantiles(
@@ -31,38 +36,46 @@ def quantiles(
     Nulls and NaN are skipped. Infinities are values; between an infinity and another value lies the lower
     infinity, else the upper one.
     """
-    spark = df.sparkSession
     keys = [f"_by{i}" for i in range(len(by))]
-    pairs = [F.struct(F.lit(c).alias("feature"), F.nanvl(F.col(c).cast("double"), F.lit(None)).alias("x")) for c in cols]
-    values = materialize(
-        df.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.inline(F.array(*pairs))), "quantile-values"
-    )
+    # Stored wide; the long form exists only inside a scan. A column goes by its number, a short join key.
+    wide = materialize(df.select(
+        *[F.col(b).alias(k) for b, k in zip(by, keys)],
+        *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"_x{i}") for i, c in enumerate(cols)],
+    ), "quantile-values")
+    values = wide.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("feature"), F.col(f"_x{i}").alias("x")) for i in range(len(cols))
+    ])))
     series = [*keys, "feature"]
-    sizes = values.groupBy(*series).agg(F.count("x").alias("n"))
-    if not by:  # a table without rows has its columns all the same
-        named = spark.createDataFrame([(c,) for c in cols], "feature string")
-        sizes = named.join(sizes, "feature", "left").select("feature", F.coalesce("n", F.lit(0)).alias("n"))
-    sizes = materialize(sizes, "quantile-sizes")
+    sizes = materialize(_sizes(wide, keys, len(cols)), "quantile-sizes")
 
     place = F.struct(*[F.lit(None).cast("double").alias(c) for c in ("low", "high")])
     state = sizes.where("n > 0").select(
         *series, F.explode(_ranks(probs)).alias("rank"), place["low"].alias("low"), place["high"].alias("high"),
         F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inside"), F.lit(None).cast("double").alias("value"),
     )
-    largest = sizes.agg(F.max("n").alias("most")).first()["most"] or 0
-    while largest > order_rows:
-        open_ = F.col("value").isNull() & (F.col("inside") > order_rows)
-        narrowed = _located(values, _proposed(values, state.where(open_), series), series)
+    open_ = F.col("value").isNull() & (F.col("inside") > order_rows)
+    while (sized := state.agg(F.count("*").alias("n"), F.count_if(open_).alias("open")).first())["open"]:
+        few = sized["n"] <= BROADCAST_RANKS
+        narrowed = _located(values, _proposed(values, state.where(open_), series, few), series, few)
         state = materialize(state.where(~open_).unionByName(narrowed), "quantile-ranks")
-        largest = state.where("value is null").agg(F.max("inside").alias("most")).first()["most"] or 0
+    few = sized["n"] <= BROADCAST_RANKS
     found = state.where("value is not null").select(*series, "rank", "value").unionByName(
-        _ordered(values, state.where("value is null"), series)
+        _ordered(values, state.where("value is null"), series, few)
     )
+    named = F.get(F.array(*map(F.lit, cols)), F.col("feature")).alias("feature")
     return _interpolated(sizes, found, series, probs).select(
-        *[F.col(k).alias(b) for b, k in zip(by, keys)], "feature", "p", "value"
+        *[F.col(k).alias(b) for b, k in zip(by, keys)], named, "p", "value"
     )
 
 
+def _sizes(wide: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """`(keys..., feature, n)`: the values of every column; without keys, a table without rows has its columns too."""
+    counted = wide.groupBy(*keys).agg(*[F.count(f"_x{i}").alias(f"_n{i}") for i in range(width)])
+    return counted.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("feature"), F.col(f"_n{i}").alias("n")) for i in range(width)
+    ])))
+
+
 def _position(p: float) -> Column:
     return F.lit(float(p)) * (F.col("n") - 1)
 
@@ -80,22 +93,24 @@ def _ranks(probs: Sequence[float]) -> Column:
 def _same(a: str, b: str, cols: Sequence[str]) -> Column:
     cond = F.lit(True)
     for c in cols:
-        cond = cond & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+        x, y = F.col(f"{a}.{c}"), F.col(f"{b}.{c}")
+        cond = cond & (x == y if c in NEVER_NULL else x.eqNullSafe(y))
     return cond
 
 
-def _inside(values: DataFrame, rows: DataFrame, series: Sequence[str]) -> DataFrame:
-    """`rows` with every value x of their series in their open interval."""
+def _inside(values: DataFrame, rows: DataFrame, series: Sequence[str], few: bool) -> DataFrame:
+    """`rows`, which `few` says can be broadcast, with every value x of their series in their open interval."""
     x = F.col("v.x")
     within = (F.col("r.low").isNull() | (x > F.col("r.low"))) & (F.col("r.high").isNull() | (x < F.col("r.high")))
+    rows = F.broadcast(rows) if few else rows
     return values.alias("v").join(rows.alias("r"), _same("v", "r", series) & x.isNotNull() & within).select("r.*", "v.x")
 
 
-def _proposed(values: DataFrame, ranks: DataFrame, series: Sequence[str]) -> DataFrame:
+def _proposed(values: DataFrame, ranks: DataFrame, series: Sequence[str], few: bool) -> DataFrame:
     """`ranks` with two values (a, b) of their interval, one on either side of the rank as far as a sketch knows."""
     interval = [*series, "low", "high"]
     grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-    sketch = _inside(values, ranks.select(*interval).distinct(), series).groupBy(*interval).agg(
+    sketch = _inside(values, ranks.select(*interval).distinct(), series, few).groupBy(*interval).agg(
         F.percentile_approx("x", grid, 4 * GRID).alias("grid")
     )
     at = F.floor((F.col("rank") - F.col("below")) / F.col("inside") * GRID).cast("int")
@@ -104,10 +119,10 @@ def _proposed(values: DataFrame, ranks: DataFrame, series: Sequence[str]) -> Dat
     )
 
 
-def _located(values: DataFrame, ranks: DataFrame, series: Sequence[str]) -> DataFrame:
+def _located(values: DataFrame, ranks: DataFrame, series: Sequence[str], few: bool) -> DataFrame:
     """Each rank at one of its two values, or in the open interval before, between or behind them."""
     x, a, b = F.col("x"), F.col("a"), F.col("b")
-    counted = _inside(values, ranks.select(*series, "rank", "low", "high", "a", "b"), series).groupBy(*series, "rank").agg(
+    counted = _inside(values, ranks.select(*series, "rank", "low", "high", "a", "b"), series, few).groupBy(*series, "rank").agg(
         F.count_if(x < a).alias("n1"), F.count_if(x <= a).alias("n2"), F.count_if((x <= a) | (x < b)).alias("n3"), F.count_if((x <= a) | (x <= b)).alias("n4"),
     )
     r = F.col("rank") - F.col("below")
@@ -125,10 +140,10 @@ def _located(values: DataFrame, ranks: DataFrame, series: Sequence[str]) -> Data
     )
 
 
-def _ordered(values: DataFrame, ranks: DataFrame, series: Sequence[str]) -> DataFrame:
+def _ordered(values: DataFrame, ranks: DataFrame, series: Sequence[str], few: bool) -> DataFrame:
     """The values of ranks whose intervals hold few values: counted by value, then ordered."""
     interval = [*series, "low", "high", "below"]
-    counted = _inside(values, ranks.select(*interval).distinct(), series).groupBy(*interval, "x").agg(F.count("*").alias("n"))
+    counted = _inside(values, ranks.select(*interval).distinct(), series, few).groupBy(*interval, "x").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy(*interval).orderBy("x"))
     summed = counted.withColumn("upto", F.col("below") + upto)
     return ranks.select(*interval, "rank").alias("s").join(
