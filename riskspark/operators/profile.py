@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,15 +198,19 @@ def class_histogram(
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson r of every ordered pair; each pair uses the rows where both values are present.
 
-    Each row yields its pairs of values and the pairs are aggregated map-side: one generated loop
-    over one small aggregate, where one aggregate per pair would be too large to compile well.
+    A task turns its Arrow batches into one row of moments per pair, by matrix products, and the tasks' moments are
+    merged: neither rows nor pairs of values are shuffled.
     """
-    x = [F.col(c).cast("double") for c in cols]
-    cells = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
-    pairs = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), x[i].alias("x"), x[j].alias("y")) for i, j in cells
-    ]))).groupBy("i", "j").agg(F.corr("x", "y").alias("r"), F.count("x").alias("n"))
-    half = pairs.withColumn("r", F.when(F.col("i") != F.col("j"), F.col("r")).when(F.col("n") > 0, 1.0))
+    wide = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
+    parts = wide.mapInArrow(_pair_moments, _MOMENTS)
+    part = F.struct(F.col("n").cast("double").alias("n"), "mx", "my", "xx", "yy", "xy")
+    none = F.struct(*[F.lit(0.0).alias(f) for f in ("n", "mx", "my", "xx", "yy", "xy")])
+    merged = parts.groupBy("i", "j").agg(F.aggregate(F.collect_list(part), none, _merged).alias("m")).select("i", "j", "m.*")
+    spread = F.sqrt(F.col("xx") * F.col("yy"))
+    half = merged.select(
+        "i", "j", F.when((F.col("i") == F.col("j")) & (F.col("n") > 0), 1.0)
+        .when((F.col("n") > 1) & (spread != 0), F.col("xy") / spread).alias("r")
+    )
     mirrored = half.select(F.explode(F.array(
         F.struct("i", "j", "r"), F.when(F.col("i") != F.col("j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "r"))
     )).alias("p")).where("p is not null").select("p.*")
@@ -212,6 +218,76 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return mirrored.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "i", "j", "r")
 
 
+_MOMENTS = "i int, j int, n bigint, mx double, my double, xx double, yy double, xy double"
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """Moments of two disjoint sets of rows together: n, means, sums of squares and of products about the means."""
+    n, dx, dy = a["n"] + b["n"], b["mx"] - a["mx"], b["my"] - a["my"]
+    share = F.when(n > 0, b["n"] / n).otherwise(0.0)
+    weight = a["n"] * share
+    return F.struct(
+        n.alias("n"), F.when(a["n"] > 0, a["mx"] + dx * share).otherwise(b["mx"]).alias("mx"),
+        F.when(a["n"] > 0, a["my"] + dy * share).otherwise(b["my"]).alias("my"),
+        (a["xx"] + b["xx"] + dx * dx * weight).alias("xx"), (a["yy"] + b["yy"] + dy * dy * weight).alias("yy"),
+        (a["xy"] + b["xy"] + dx * dy * weight).alias("xy"),
+    )
+
+
+def _pair_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's moments of every pair i >= j of columns over the rows that have both."""
+    n = mean = square = product = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        m, mu, sq, pr = _batch_moments(batch)
+        if n is None:
+            n, mean, square, product = m, mu, sq, pr
+            continue
+        both = n + m
+        share = np.divide(m, both, out=np.zeros_like(both), where=both > 0)
+        d = np.where((n > 0) & (m > 0), mu - mean, 0.0)
+        mean = np.where(n > 0, mean + d * share, mu)
+        square = square + sq + d * d * n * share
+        product = product + pr + d * d.T * n * share
+        n = both
+    if n is not None:
+        i, j = np.tril_indices(len(n))
+        out = [i.astype(np.int32), j.astype(np.int32), n[i, j].astype(np.int64), mean[i, j], mean[j, i], square[i, j], square[j, i], product[i, j]]
+        names = [part.split()[0] for part in _MOMENTS.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
+
+
+def _batch_moments(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(n, mean, square, product) of all pairs; row i, column j: of column i over the rows that have i and j.
+
+    Values are taken relative to one of their column, so that equal ones give exactly 0. A value that is no finite
+    number makes its pairs' moments NaN.
+    """
+    there = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns])
+    x = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns])
+    odd = there & ~np.isfinite(x)
+    x = np.where(odd, 0.0, x)
+    valid = there.astype(float)
+    mid = x.sum(axis=1, keepdims=True) / np.maximum(valid.sum(axis=1, keepdims=True), 1)
+    nearest = np.where(there, np.abs(x - mid), np.inf).argmin(axis=1)
+    pivot = x[np.arange(len(x)), nearest][:, None]
+    y = (x - pivot) * valid
+    n, total, squares = valid @ valid.T, y @ valid.T, (y * y) @ valid.T
+    some = np.maximum(n, 1)
+    mean, square, product = pivot + total / some, squares - total**2 / some, y @ y.T - total * total.T / some
+    # Where rounding could hide that all values are equal, they are looked at one by one.
+    for i, j in zip(*np.nonzero((square <= 1e-9 * squares) & (n > 0))):
+        values = x[i, there[i] & there[j]]
+        mean[i, j] = values[0] if values.min() == values.max() else values.mean()
+        square[i, j] = ((values - mean[i, j]) ** 2).sum()
+    if odd.any():
+        hit = odd.astype(float) @ valid.T > 0
+        bad = hit | hit.T
+        square[bad] = product[bad] = mean[bad] = np.nan
+    return n, mean, square, product
+
+
 def corr_lower_triangle(corr: DataFrame) -> DataFrame:
     return corr.where("i > j")
 
