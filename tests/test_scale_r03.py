@@ -5,13 +5,14 @@ import math
 import numpy as np
 import pandas as pd
 
-from riskspark.operators import profile, quantiles
+from riskspark.operators import neighbours, profile, quantiles, rebalance
+from riskspark.sources import borrowers
 
 
 def test_values_stay_where_they_are_while_ranks_are_narrowed(spark):
     """Joined by shuffling on the column's name, all values of a column were sorted in one task."""
-    values = spark.range(1000).selectExpr("0 as feature", "cast(id as double) as x")
-    ranks = spark.createDataFrame([(0, 1, None, None)], "feature int, rank int, low double, high double")
+    values = spark.range(1000).selectExpr("cast(id % 5 as int) as feature", "cast(id as double) as x")
+    ranks = spark.createDataFrame([(0, 1, None, None), (3, 1, None, None)], "feature int, rank int, low double, high double")
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -48,3 +49,42 @@ def test_correlation_of_values_that_are_no_numbers(spark):
     assert math.isnan(got["a", "b"]) and got["a", "a"] == 1.0
     one = profile.corr_matrix(df.limit(1), ["a", "b"]).collect()
     assert {(r["a"], r["b"]): r["r"] for r in one}["a", "b"] is None
+
+
+def test_links_are_searched_from_the_smaller_classes(spark, monkeypatch):
+    """Every row used to look for its nearest row; the links are those of brute force, with three classes and no label."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(600, 3)), 1)
+    label = [None if i % 50 == 7 else int(v > 0.75) + int(v > 0.95) for i, v in enumerate(rng.random(600))]
+    rows = [(i, label[i], *map(float, x[i])) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, target int, a double, b double, c double")
+    gap = np.rint(((x[:, None] - x[None]) ** 2).sum(axis=2) * neighbours.UNIT)
+    np.fill_diagonal(gap, np.inf)
+    to = gap.argmin(axis=1)
+    want = {(i, int(j)) for i, j in enumerate(to) if to[j] == i and None not in (label[i], label[j]) and label[i] != label[j]}
+    asked = []
+    whole = rebalance.search
+    monkeypatch.setattr(rebalance, "search", lambda within, some: asked.append(some.count()) or whole(within, some))
+    got = [tuple(r) for r in rebalance.tomek_pairs(df, ["a", "b", "c"], cell_rows=16).collect()]
+    assert set(got) == want and len(got) == len(want) > 10
+    assert sum(asked) < 400
+
+
+def test_profile_counts_values_batch_by_batch(spark):
+    """Counting before the shuffle used to hold all different values of a file split in one task."""
+    rows = [(float(i % 7) if i % 5 else None, i) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "a double, b int")
+    found = profile.column_profile(df, ["a", "b"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if "MapInArrow" in line)
+    above = next(line for line in reversed(lines[:at]) if "Exchange" in line or "HashAggregate" in line)
+    assert "Exchange" in above
+    got = {r["column"]: (r["missing"], r["unique"], r["min"], r["max"], r["mean"]) for r in found.collect()}
+    assert got == {"a": (6000, 7, 0.0, 6.0, 3.0), "b": (0, 30_000, 0.0, 29_999.0, 14999.5)}
+
+
+def test_lines_are_dealt_by_order_before_they_are_counted(spark, sf):
+    tables = [borrowers.table(spark, sf, t) for t in ("orders", "customer", "lineitem")]
+    plan = borrowers.derive_borrowers(*tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_orderkey" in plan
