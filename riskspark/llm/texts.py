@@ -34,13 +34,16 @@ def map_texts(
     """`df` with the columns of `fields` (DDL) computed from whole texts, batch by batch, without a shuffle.
 
     `make` is called once per task and returns the function from a list of UTF-8 texts (null: empty) to
-    arrays. `carry` names the columns kept (default all). A kept column with the name of a result goes.
+    arrays. `carry` names the columns kept (default all). A kept column with the name of a result goes. A kept
+    text is sent to the workers once, as the text to work on.
     """
     spark = df.sparkSession
     new = spark.createDataFrame([], fields).schema
     carry = [c for c in (df.columns if carry is None else carry) if c not in new.names]
-    work = df.select(*carry, F.col(text).cast("binary").alias(TEXT_IN))
-    schema = work.select(*carry).schema
+    work, schema = df.select(*carry), df.select(*carry).schema
+    source = text if text in carry and dict(work.dtypes)[text] == "string" else TEXT_IN
+    if source == TEXT_IN:
+        work = df.select(*carry, F.col(text).cast("binary").alias(TEXT_IN))
     for f in new.fields:
         schema = schema.add(f)
     names = schema.names
@@ -48,8 +51,11 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            for part in slices(batch, TEXT_IN):
-                texts = [x or b"" for x in part.column(TEXT_IN).to_pylist()]
+            for part in slices(batch, source):
+                column = part.column(source)
+                if source != TEXT_IN:
+                    column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+                texts = [x or b"" for x in column.to_pylist()]
                 arrays = [part.column(c) for c in carry] + list(compute(texts))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
         del compute
