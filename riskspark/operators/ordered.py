@@ -123,9 +123,9 @@ def hash_cuts(
     return {(x["c"], x["r"]): (x["h"], x["i"]) for x in first_reaching(["h", "i"], counted)}
 
 
-def at_or_before(cut: tuple[str, int] | None, id_col: str, seed: int) -> Column:
-    """Whether a row's (hash, id) is at most the cut; no cut means no row."""
+def at_or_before(cut: tuple[str, int] | None, id_col: str, seed: int, hashed: Column | None = None) -> Column:
+    """Whether a row's (hash, id) is at most the cut; no cut means no row. `hashed` is the row's hash, if it has one."""
     if cut is None:
         return F.lit(False)
-    h = hash_key(id_col, seed)
+    h = hash_key(id_col, seed) if hashed is None else hashed
     return (h < cut[0]) | ((h == cut[0]) & (F.col(id_col) <= cut[1]))

@@ -1,4 +1,6 @@
-"""Exact, linearly interpolated quantiles, by one route at every size.
+"""Exact, linearly interpolated quantiles.
+
+Up to `CELL_RANKS` wanted order statistics are found by counting in the tasks (`cells`); more, those of many groups, as below.
 
 Every wanted order statistic is a row of a table: its group, column and rank, the open interval known to hold
 it, how many values lie at or below the interval's lower end, and how many inside. A round narrows the intervals
@@ -17,7 +19,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from riskspark.operators.cells import Rank, find_ranks
 from riskspark.session import materialize
 
 #: An interval with at most so many values is ordered, a larger one is narrowed.
@@ -25,11 +29,13 @@ ORDER_ROWS = 1_000
 GRID = 256
 #: So many rows of the table of ranks are sent to the tasks; a larger table, that of very many groups, is shuffled.
 BROADCAST_RANKS = 50_000
+#: Up to so many ranks are kept on the driver.
+CELL_RANKS = 2_000
 NEVER_NULL = ("feature", "rank")
 
 
 def quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), order_rows: int = ORDER_ROWS
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), order_rows: int | None = None
 ) -> DataFrame:
     """Long frame `(by..., feature, p, value)`; an all-null column gives null, a null group is a group.
 
@@ -42,15 +48,49 @@ def quantiles(
         *[F.col(b).alias(k) for b, k in zip(by, keys)],
         *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"_x{i}") for i, c in enumerate(cols)],
     ), "quantile-values")
-    values = wide.select(*keys, F.inline(F.array(*[
-        F.struct(F.lit(i).alias("feature"), F.col(f"_x{i}").alias("x")) for i in range(len(cols))
-    ])))
     series = [*keys, "feature"]
     sizes = materialize(_sizes(wide, keys, len(cols)), "quantile-sizes")
 
+    wanted = sizes.where("n > 0").select(*series, "n", F.explode(_ranks(probs)).alias("rank"))
+    found = _found_few(wide, wanted, keys, order_rows)
+    if found is None:
+        found = _found_many(wide, wanted, keys, len(cols), ORDER_ROWS if order_rows is None else order_rows)
+    named = F.get(F.array(*map(F.lit, cols)), F.col("feature")).alias("feature")
+    return _interpolated(sizes, found, series, probs).select(
+        *[F.col(k).alias(b) for b, k in zip(by, keys)], named, "p", "value"
+    )
+
+
+def _found_few(wide: DataFrame, wanted: DataFrame, keys: Sequence[str], order_rows: int | None) -> DataFrame | None:
+    """`(keys..., feature, rank, value)` of the wanted ranks, or None if there are more than `CELL_RANKS`."""
+    spark = wide.sparkSession
+    # At most so many rows, so one window over all of them is bounded.
+    number = F.dense_rank().over(Window.orderBy(*keys)) if keys else F.lit(0)
+    ranks = wanted.limit(CELL_RANKS + 1).withColumn("_g", number.cast("int")).collect()
+    if len(ranks) > CELL_RANKS:
+        return None
+    groups = {r["_g"]: tuple(r[k] for k in keys) for r in ranks}
+    if keys:
+        table = spark.createDataFrame([(*of, g) for g, of in groups.items()], T.StructType([*wide.select(*keys).schema, T.StructField("_g", T.IntegerType())]))
+        rows = wide.alias("v").join(F.broadcast(table.alias("r")), _same("v", "r", keys)).select("v.*", "r._g")
+    else:
+        rows = wide.withColumn("_g", F.lit(0))
+    located = find_ranks(rows, [Rank(r["_g"], r["feature"], r["rank"], r["n"]) for r in ranks], order_rows)
+    return spark.createDataFrame(
+        [(*groups[r.group], r.feature, r.rank, r.value) for r in located],
+        T.StructType([*wanted.select(*keys, "feature", "rank").schema, T.StructField("value", T.DoubleType())]),
+    )
+
+
+def _found_many(wide: DataFrame, wanted: DataFrame, keys: Sequence[str], width: int, order_rows: int) -> DataFrame:
+    """The same by joins with a table of ranks, of any number."""
+    series = [*keys, "feature"]
+    values = wide.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("feature"), F.col(f"_x{i}").alias("x")) for i in range(width)
+    ])))
     place = F.struct(*[F.lit(None).cast("double").alias(c) for c in ("low", "high")])
-    state = sizes.where("n > 0").select(
-        *series, F.explode(_ranks(probs)).alias("rank"), place["low"].alias("low"), place["high"].alias("high"),
+    state = wanted.select(
+        *series, "rank", place["low"].alias("low"), place["high"].alias("high"),
         F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inside"), F.lit(None).cast("double").alias("value"),
     )
     open_ = F.col("value").isNull() & (F.col("inside") > order_rows)
@@ -59,13 +99,9 @@ def quantiles(
         narrowed = _located(values, _proposed(values, state.where(open_), series, few), series, few)
         state = materialize(state.where(~open_).unionByName(narrowed), "quantile-ranks")
     few = sized["n"] <= BROADCAST_RANKS
-    found = state.where("value is not null").select(*series, "rank", "value").unionByName(
+    return state.where("value is not null").select(*series, "rank", "value").unionByName(
         _ordered(values, state.where("value is null"), series, few)
     )
-    named = F.get(F.array(*map(F.lit, cols)), F.col("feature")).alias("feature")
-    return _interpolated(sizes, found, series, probs).select(
-        *[F.col(k).alias(b) for b, k in zip(by, keys)], named, "p", "value"
-    )
 
 
 def _sizes(wide: DataFrame, keys: Sequence[str], width: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.operators.ordered import at_or_before, class_sizes, hash_cuts
+from riskspark.operators.ordered import at_or_before, class_sizes, hash_cuts, hash_key
 from riskspark.schema import ID, LABEL
 
 # The seed, and test and validation shares of the whole.
@@ -33,10 +33,12 @@ def stratified_split(
     def within(which: int):
         hit = F.lit(False)
         for c, wanted in ranks.items():
-            hit = hit | (F.col(label).eqNullSafe(F.lit(c)) & at_or_before(cuts.get((c, wanted[which])), id_col, seed))
+            hit = hit | (F.col(label).eqNullSafe(F.lit(c)) & at_or_before(cuts.get((c, wanted[which])), id_col, seed, F.col("_hash")))
         return hit
 
-    return df.withColumn("split", F.when(within(0), "test").when(within(1), "val").otherwise("train"))
+    # A column of its own: the hash is computed once a row, not once for each comparison.
+    hashed = df.withColumn("_hash", hash_key(id_col, seed))
+    return hashed.withColumn("split", F.when(within(0), "test").when(within(1), "val").otherwise("train")).drop("_hash")
 
 
 def random_undersample(

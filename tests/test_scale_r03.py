@@ -4,8 +4,9 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
-from riskspark.operators import neighbours, profile, quantiles, rebalance
+from riskspark.operators import cells, neighbours, profile, quantiles, rebalance, split
 from riskspark.sources import borrowers
 
 
@@ -88,3 +89,48 @@ def test_lines_are_dealt_by_order_before_they_are_counted(spark, sf):
     tables = [borrowers.table(spark, sf, t) for t in ("orders", "customer", "lineitem")]
     plan = borrowers.derive_borrowers(*tables)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [l_orderkey" in plan
+
+
+def test_few_and_many_ranks_are_found_alike(spark, monkeypatch):
+    """Every value of a column was joined with each of its ranks, row by row, to narrow them."""
+    rng = np.random.default_rng(5)
+    odd = [float("inf"), float("-inf"), float("nan"), None, -0.0, 0.0, 5.0]
+    rows = [
+        (None if i % 11 == 0 else float("nan") if i % 13 == 0 else float(i % 4), odd[i % 7] if i % 5 == 0 else float(rng.normal()), float(rng.integers(3)))
+        for i in range(6000)
+    ]
+    df = spark.createDataFrame(rows, "g double, x double, y double").repartition(5)
+    asked = []
+    monkeypatch.setattr(quantiles, "_inside", lambda *a, inside=quantiles._inside: asked.append(1) or inside(*a))
+    monkeypatch.setattr(cells, "INTERVAL_SAMPLE", 100)
+
+    def found(by, order_rows):
+        got = quantiles.quantiles(df, ["x", "y"], [0.0, 0.01, 0.25, 0.5, 0.999, 1.0], by, order_rows).collect()
+        return sorted(repr([v + 0.0 if isinstance(v, float) else v for v in r]) for r in got)
+
+    few = {(by, n): found(list(by), n) for by, n in (((), None), (("g",), 7))}
+    assert not asked
+    monkeypatch.setattr(quantiles, "CELL_RANKS", 0)
+    for (by, n), got in few.items():
+        assert got == found(list(by), n)
+    assert asked
+
+
+def test_money_is_added_up_as_decimals_are(spark):
+    """Every line's price and tax was cast to a decimal by way of its text and added to a decimal of 28 digits."""
+    odd = [1.005, 2.675, -0.125, 0.005, -1.005, 1e15, 9.9e15, -3e13, 1099511627.775, 0.1, 1e-9, None, float("nan"), -0.0, 123456.78]
+    rng = np.random.default_rng(8)
+    rows = [(i % 40, odd[i % len(odd)]) for i in range(600)] + [(40 + i % 60, float(np.round(rng.normal(0, 1e5), int(rng.integers(1, 6))))) for i in range(3000)]
+    rows += [(200, 9.9e15)] * 300 + [(201, None)]
+    df = spark.createDataFrame(rows, "k int, x double")
+    cents = df.select("k", "x", borrowers._cents(F.col("x")).alias("c"))
+    got = cents.groupBy("k").agg(borrowers._money("c").alias("got"), F.sum(F.col("x").cast("decimal(18,2)")).cast("double").alias("want"))
+    wrong = [r for r in got.collect() if r["got"] != r["want"]]
+    assert not wrong and got.count() == 102
+
+
+def test_a_row_is_hashed_once_for_its_split(spark):
+    """Each comparison with a cut used to compute the hash again."""
+    rows = spark.range(500).selectExpr("id", "cast(id % 3 = 0 as int) as target")
+    plan = split.stratified_split(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
