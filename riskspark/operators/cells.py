@@ -102,7 +102,11 @@ def _columns(rows: DataFrame, asked: Mapping[int, Mapping]) -> DataFrame:
 def _samples(rows: DataFrame, intervals: Sequence[Rank], turn: int) -> dict[int, np.ndarray]:
     """Sorted sampled values by the interval's number."""
     size = min(INTERVAL_SAMPLE, SAMPLE_VALUES // len(intervals))
-    asked = _asked([(r.group, r.feature, (i, r.low, r.high, size / r.inside)) for i, r in enumerate(intervals)])
+    # Rows that no interval needs stay out of the Python workers.
+    most = min(1.0, max(size / r.inside for r in intervals))
+    asked = _asked([(r.group, r.feature, (i, r.low, r.high, size / r.inside / most)) for i, r in enumerate(intervals)])
+    seen = _columns(rows, asked)
+    seen = seen.sample(most, turn) if most < 1 else seen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
@@ -117,7 +121,7 @@ def _samples(rows: DataFrame, intervals: Sequence[Rank], turn: int) -> dict[int,
         yield _batch(at=np.array(list(kept), np.int32), x=pa.array([np.concatenate(v).tobytes() for v in kept.values()], pa.binary()))
 
     found = defaultdict(list)
-    for r in _columns(rows, asked).mapInArrow(run, "at int, x binary").collect():
+    for r in seen.mapInArrow(run, "at int, x binary").collect():
         found[r["at"]].append(np.frombuffer(r["x"]))
     return {i: np.sort(np.concatenate(parts)) for i, parts in found.items()}
 
